@@ -55,7 +55,7 @@ def fiducial_drift(picked: DataFrame) -> DataFrame:
     """(frame, dx, dy): mean displacement of fiducials in each frame, weighted by the inverse of each one's variance."""
     of = Window.partitionBy("pick_id")
     rows = picked.select("pick_id", "frame", (F.col("x") - F.avg("x").over(of)).alias("x"), (F.col("y") - F.avg("y").over(of)).alias("y"))
-    rows = rows.withColumn("wx", 1 / F.var_pop("x").over(of)).withColumn("wy", 1 / F.var_pop("y").over(of)).where("wx is not null and wy is not null")
+    rows = rows.withColumn("wx", F.try_divide(F.lit(1.0), F.var_pop("x").over(of))).withColumn("wy", F.try_divide(F.lit(1.0), F.var_pop("y").over(of))).where("wx is not null and wy is not null")
     return rows.groupBy("frame").agg((F.sum(F.col("x") * F.col("wx")) / F.sum("wx")).alias("dx"), (F.sum(F.col("y") * F.col("wy")) / F.sum("wy")).alias("dy"))
 
 
