@@ -188,6 +188,7 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counted = rows.where("not held_out").select("text").mapInArrow(count, "token string, n long")
     counts = materialize(counted.groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
     known = counts.orderBy(F.desc("c"), "token").limit(head).toPandas()
+    ends = counts.where("token = ''").select(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     frequent = [w for w in known["token"][: FREQUENT + 1] if w != ""][:FREQUENT]
     per = counts.groupBy(class_of(F.col("token"), frequent).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
     mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -200,8 +201,6 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tokens, c, frequent = share.value
         value_set = pa.array(tokens, pa.large_string())
         named = pa.array(frequent, pa.large_string())
-        end = np.flatnonzero(tokens == "")
-        end_c = int(c[end[0]]) if len(end) else 0
         for batch in batches:
             owner, ids, words = tokenize(batch.column(2))
             at = pc.fill_null(pc.index_in(words, value_set=value_set), -1).to_numpy(zero_copy_only=False)
@@ -212,8 +211,8 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             n, docs = np.bincount(owner, minlength=len(batch)), len(batch)
             logs = np.log10(np.append(c, 0) + 0.5)
             known = at[ids] >= 0
-            a = np.bincount(owner, weights=np.where(known, logs[at[ids]], 0.0), minlength=docs) + np.log10(end_c + 0.5)
-            hits = np.bincount(owner[known], minlength=docs) + (end_c > 0)
+            a = np.bincount(owner, weights=np.where(known, logs[at[ids]], 0.0), minlength=docs) + np.log10(ends + 0.5)
+            hits = np.bincount(owner[known], minlength=docs) + (ends > 0)
             pair, tf = np.unique(owner[~known] * max(1, len(words)) + ids[~known], return_counts=True)
             who, which = np.divmod(pair, max(1, len(words)))
             offsets = pa.array(np.searchsorted(who, np.arange(docs + 1)).astype(np.int32))
