@@ -5,7 +5,10 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,21 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker holds few sets at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch if len(batch) <= rows else batch.take(pa.array(range(at, min(at + rows, len(batch)))))
+
+
+def lower_words(texts: pa.Array) -> pa.Array:
+    """Lists of a text's words: A-Z in lower case, parted by ASCII white space; a null text is empty. Empty words may be
+    at the ends."""
+    if texts.offset:  # ascii_lower reads the wrong bytes of a sliced array
+        texts = texts.take(pa.array(range(len(texts))))
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+
+
 def number_rows(df: DataFrame, group: str, order: list[str], out: str, cells: int = 256) -> DataFrame:
     """Adds a gapless number from 0 within each group, without a task for a whole group.
 

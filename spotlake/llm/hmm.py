@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, materialize
+from .common import id_crc, lower_words, materialize, slices
 
 #: Classes: the end, then the most frequent words, one each, then words by their last two bytes.
 FREQUENT, SUFFIXES = 159, 96
@@ -24,7 +24,7 @@ SEGMENT = 1024
 def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(text number of each word, dictionary index of each word, dictionary): words end at ASCII white space, A-Z count
     as a-z, a null text has none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = lower_words(texts)
     coded = lists.flatten().dictionary_encode()
     owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -137,7 +137,7 @@ def train(sequences: DataFrame, totals: np.ndarray, states: int = 4, rounds: int
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 + states + CLASSES, states))
-        for batch in batches:
+        for batch in slices(batches, 4000):
             raw = batch.column(0)
             seen, sizes = np.frombuffer(b"".join(raw.to_pylist()), np.uint8), pc.binary_length(raw).to_numpy()
             if len(seen):
@@ -178,7 +178,7 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             _, ids, words = tokenize(batch.column(0))
             n = np.bincount(ids, minlength=len(words))
             have = np.flatnonzero(n)
@@ -201,7 +201,7 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tokens, c, frequent = share.value
         value_set = pa.array(tokens, pa.large_string())
         named = pa.array(frequent, pa.large_string())
-        for batch in batches:
+        for batch in slices(batches):
             owner, ids, words = tokenize(batch.column(2))
             at = pc.fill_null(pc.index_in(words, value_set=value_set), -1).to_numpy(zero_copy_only=False)
             special = pc.fill_null(pc.index_in(words, value_set=named), -1).to_numpy(zero_copy_only=False)
@@ -229,7 +229,7 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     model = train(found.where("not held_out"), mass, states, rounds)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4000):
             raw = batch.column(batch.num_columns - 1)
             seen, sizes = np.frombuffer(b"".join(raw.to_pylist()), np.uint8), pc.binary_length(raw).to_numpy()
             owner = np.repeat(np.arange(len(sizes)), sizes)

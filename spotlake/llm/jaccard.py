@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, lower_words, materialize, slices
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -34,7 +34,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted 64-bit hashes of each text's distinct shingles of `size` words; A-Z count as a-z, words end at ASCII white
     space, a text of fewer words is one shingle, and one without words has none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = lower_words(texts)
     coded = lists.flatten().dictionary_encode()
     value = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False) if len(coded.dictionary) else np.zeros(0, np.uint64)
     value = np.append(value, np.uint64(0))  # of the empty word
@@ -164,7 +164,7 @@ def region_links(keys: list[bytes], sets: list[np.ndarray], t: Fraction, leaf: i
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float | str | Fraction = "0.8", id_col: str = "doc_id", text_col: str = "text", frequent: int = 4_000_000, largest: int = 200_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float | str | Fraction = "0.8", id_col: str = "doc_id", text_col: str = "text", largest: int = 200_000_000) -> DataFrame:
     """Connected components of the documents under Jaccard similarity of word shingles.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included). Null and
@@ -172,90 +172,71 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float | str |
     Null ids are never a component's smallest id, unless it has no other.
 
     The order of shingles is by the number of sets that have them, so that passages that many documents share seldom
-    bring documents together. It is counted for the one in `ranked` shingles by hash that come first in the order,
-    which are more than the join has to look at; those found in several sets are known to every task, up to the
-    `frequent` most frequent. Any such order gives the same result. A region of sets of more than `largest`
+    bring documents together. Counting is left to a hash class of shingles, which come first in the order and are more
+    than a set's prefix; where a small set has too few of them, others follow by hash. A region of sets of more than `largest`
     bytes is joined in blocks, each pair of blocks being a task.
     """
     t = Fraction(str(threshold))
-    ranked = np.uint64(max(1, int(1 / (1.6 * (1 - t))))) if t < 1 else np.uint64(1)
+    classes = np.uint64(max(1, int(1 / (1.6 * (1 - t))))) if t < 1 else np.uint64(1)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = named.schema["doc_id"].dataType.simpleString()
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "node", "n_shingles", "shingles", "times"]
-        for batch in batches:
-            sets = shingle_sets(batch.column(1), shingle)
-            nodes = [node_of(s) for s in sets]
-            distinct = list({k: s for k, s in zip(nodes, sets, strict=True) if k}.values())
-            flat = np.concatenate([*distinct, np.zeros(0, np.uint64)])
-            value, n = np.unique(flat[flat % ranked == 0], return_counts=True)
-            pad = [None] * (len(nodes) - 1)
-            often = pa.array([value.view(np.int64), *pad], pa.list_(pa.int64())), pa.array([n.astype(np.int32), *pad], pa.list_(pa.int32()))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *often], names)
-
-    found = materialize(named.mapInArrow(census, f"doc_id {id_type}, node binary, n_shingles long, shingles array<long>, times array<int>"), "shingle-census")
-    rows = found.select("doc_id", "node", "n_shingles")
-    often = found.where("shingles is not null").select(F.explode(F.arrays_zip("shingles", "times")).alias("s")).groupBy("s.shingles").agg(F.sum("s.times").alias("n"))
-    often = materialize(often.where("n > 1"), "shingle-counts")
-    complete = often.count() <= frequent
-    top = (often if complete else often.orderBy(F.desc("n"), "shingles").limit(frequent)).toPandas()
-    order = np.argsort(top["shingles"].to_numpy(np.int64).view(np.uint64))
-    hot = top["shingles"].to_numpy(np.int64).view(np.uint64)[order]
-    heat = top["n"].to_numpy(np.int64)[order].clip(max=2**31 - 2).astype(np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast((hot, heat))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, heat = shared.value
-        for batch in batches:
-            keys, counts, sizes, out = [], [], [], []
-            for s in {s.tobytes() for s in shingle_sets(batch.column(1), shingle) if len(s)}:
-                s = np.frombuffer(s, np.uint64)
-                known, rank = s % ranked == 0, np.full(len(s), 2**31 - 1, np.int32)
-                rank[known] = 1
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    rank = np.where(hot[at] == s, heat[at], rank)
+        for batch in slices(batches):
+            seen, keys, rows = set(), [], []
+            for s in shingle_sets(batch.column(1), shingle):
+                node = node_of(s)
+                keys.append(node)
+                if node is None or node in seen:
+                    rows.append((len(s), None, None, None, None))
+                    continue
+                seen.add(node)
                 keep = len(s) - -(-len(s) * t.numerator // t.denominator) + 1
-                first = np.lexsort((s, rank))[:keep]
-                if complete:  # what only one set has brings it together with no other
-                    first = first[rank[first] > 1]
-                first, keep = s[first], len(first)
-                keys.append(node_of(s))
-                counts.append(keep)
-                sizes.append(len(s))
-                out.append(first.view(np.int64))
-            if keys:
-                key = pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), counts)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), key, pa.array(np.repeat(sizes, counts), pa.int64())], ["shingle", "node", "size"])
-
-    members = named.mapInArrow(prefixes, "shingle long, node binary, size long")
+                ranked = s % classes == 0
+                n = int(ranked.sum())
+                rows.append((len(s), keep, n, s[ranked].view(np.int64), s[~ranked][: max(0, keep - n)].view(np.int64)))
+            if rows:
+                n, keep, ranked, own, extra = zip(*rows, strict=True)
+                longs = pa.list_(pa.int64())
+                heads = pa.array([k and int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64())
+                columns = [batch.column(0), pa.array(keys, pa.binary()), heads, pa.array(n, pa.int64()), pa.array(keep, pa.int32()), pa.array(ranked, pa.int32()), pa.array(own, longs), pa.array(extra, longs)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "head", "n_shingles", "keep", "ranked", "own", "extra"])
+
+    shape = f"doc_id {id_type}, node binary, head long, n_shingles long, keep int, ranked int, own array<long>, extra array<long>"
+    found = materialize(named.mapInArrow(census, shape), "shingle-census")
+    rows = found.select("doc_id", "node", "n_shingles")
+
+    own = found.where("own is not null").select("head", F.explode("own").alias("shingle"))
+    several = own.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    common = own.join(several, "shingle").groupBy("head").agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("common"))
+    each = found.where("own is not null").groupBy("head").agg(F.max(F.struct(F.col("n_shingles").alias("size"), "keep", "ranked", "extra")).alias("m"))
+    each = each.select("head", "m.*").join(common, "head", "left")
+    # the order: ranked shingles by count, then the others; those that no other set has need not be looked up
+    held = F.coalesce(F.col("common.shingle"), F.array().cast("array<long>"))
+    room = F.col("keep") - F.col("ranked") + F.size(held)
+    first = F.when(F.col("keep") > F.col("ranked"), F.concat(held, "extra")).when(room > 0, F.slice(held, F.lit(1), F.greatest(room, F.lit(0)))).otherwise(F.array().cast("array<long>"))
+    members = each.select("head", "size", F.explode(first).alias("shingle"))
     # sets link only if the smaller has at least threshold times the larger's size: a gap in the sizes parts a list
-    ordered = Window.partitionBy("shingle").orderBy("size", "node")
+    ordered = Window.partitionBy("shingle").orderBy("size", "head")
     gap = (F.lag("size").over(ordered) * t.denominator < F.col("size") * t.numerator).cast("int")
     members = members.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("run", F.sum("gap").over(ordered))
-    edges = members.select("node", F.min("node").over(Window.partitionBy("shingle", "run")).alias("least")).where("node <> least").distinct()
-    edges = materialize(edges, "region-edges")
-    regions = materialize(components(edges, "node", "least").select("node", F.col("root").alias("region")), "regions")
+    edges = members.select("head", F.min("head").over(Window.partitionBy("shingle", "run")).alias("least")).where("head <> least").distinct()
+    regions = materialize(components(edges, "head", "least").select(F.col("node").alias("head"), F.col("root").alias("region")), "regions")
 
-    bounded = regions.count() <= 2_000_000
     keep = None
-    if bounded:
-        heads = regions.select(F.expr("unhex(substr(hex(node), 1, 16))").alias("h")).toPandas()["h"]
-        keep = docs.sparkSession.sparkContext.broadcast(np.unique(np.frombuffer(b"".join(map(bytes, heads)), np.uint64)))
+    if regions.count() <= 2_000_000:  # else every set goes to the join, which drops those without a region
+        keep = docs.sparkSession.sparkContext.broadcast(np.sort(regions.select("head").toPandas()["head"].to_numpy(np.int64)))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = {node_of(s): s for s in shingle_sets(batch.column(1), shingle) if len(s)}
-            if keep is not None and sets:
-                heads, wanted = np.frombuffer(b"".join(k[:8] for k in sets), np.uint64), keep.value
-                have = np.isin(heads, wanted)
-                sets = {k: s for ok, (k, s) in zip(have, sets.items(), strict=True) if ok}
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["node", "members"])
-
-    sets = named.mapInArrow(full, "node binary, members binary").join(regions, "node").select("region", "node", "members")
+        for batch in slices(batches):
+            sets = {node_of(s): s for s in shingle_sets(batch.column(0), shingle) if len(s)}
+            heads = np.frombuffer(b"".join(k[:8] for k in sets), np.int64)
+            wanted = np.ones(len(sets), bool) if keep is None else np.isin(heads, keep.value)
+            out = [(h, k, s.tobytes()) for ok, h, (k, s) in zip(wanted, heads.tolist(), sets.items(), strict=True) if ok]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["head", "node", "members"])
+
+    sets = named.select("text").mapInArrow(full, "head long, node binary, members binary").join(regions, "head").select("region", "node", "members")
     sets = materialize(sets, "region-sets")
     sizes = sets.groupBy("region").agg(F.sum(F.octet_length("members")).alias("_bytes"))
     blocks = F.ceil(F.col("_bytes") * 2 / largest)

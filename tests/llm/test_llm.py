@@ -260,7 +260,7 @@ def test_near_duplicates_equal_brute_force(spark, size, threshold):
         docs.append((i, " ".join(words).upper() if i % 9 == 0 else " ".join(words)))
     docs += [(200, None), (201, ""), (202, " ")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    for more in ({}, {"frequent": 5, "largest": 2000}):
+    for more in ({}, {"largest": 2000}):
         got = jaccard.near_duplicates(frame, size, threshold, **more).collect()
         assert sorted(map(tuple, got)) == brute_components(docs, size, Fraction(threshold))
 
