@@ -93,22 +93,19 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, "edges")
+    was, small = None, materialize(edges, "links")
     while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = small.unionAll(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select("u", F.col("m").alias("v")).unionAll(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        small = materialize(small.distinct(), "small")
-        same = edges.join(small, ["u", "v"], "left_semi").count()
-        if same == edges.count() == small.count():
+        step = large.join(least, "u")
+        step = step.select("u", F.col("m").alias("v")).unionAll(step.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = materialize(step.distinct(), "links")
+        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == was:
             break
-        edges = small
+        was = now
     return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
         small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

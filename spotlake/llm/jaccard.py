@@ -252,11 +252,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float | str |
         unique = dict(zip(table.column("node").to_pylist(), table.column("members").to_pylist(), strict=True))
         keys = sorted(unique, key=lambda k: (len(unique[k]), k))
         found = region_links(keys, [np.frombuffer(unique[k], np.uint64) for k in keys], t) if len(keys) > 1 else set()
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        root: dict[bytes, bytes] = {}
 
-    links = materialize(dealt.groupBy("region", "block").applyInArrow(join, "a binary, b binary"), "links")
-    joined = components(links, "a", "b")
+        def find(k: bytes) -> bytes:
+            while root.setdefault(k, k) != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        for a, b in found:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return pa.table({"node": pa.array(list(root), pa.binary()), "root": pa.array([find(k) for k in list(root)], pa.binary())})
+
+    joined = materialize(dealt.groupBy("region", "block").applyInArrow(join, "node binary, root binary"), "classes-of-regions")
+    if not wide.isEmpty():  # a region that was joined in blocks has its classes in several of them
+        joined = components(joined, "node", "root")
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_min"))
     least = least.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = materialize(least, "classes")
