@@ -223,19 +223,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float | str |
     edges = members.select("head", F.min("head").over(Window.partitionBy("shingle", "run")).alias("least")).where("head <> least").distinct()
     regions = materialize(components(edges, "head", "least").select(F.col("node").alias("head"), F.col("root").alias("region")), "regions")
 
-    keep = None
-    if regions.count() <= 2_000_000:  # else every set goes to the join, which drops those without a region
-        keep = docs.sparkSession.sparkContext.broadcast(np.sort(regions.select("head").toPandas()["head"].to_numpy(np.int64)))
-
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = {node_of(s): s for s in shingle_sets(batch.column(0), shingle) if len(s)}
-            heads = np.frombuffer(b"".join(k[:8] for k in sets), np.int64)
-            wanted = np.ones(len(sets), bool) if keep is None else np.isin(heads, keep.value)
-            out = [(h, k, s.tobytes()) for ok, h, (k, s) in zip(wanted, heads.tolist(), sets.items(), strict=True) if ok]
+            out = [(int.from_bytes(k[:8], "little", signed=True), k, s.tobytes()) for k, s in sets.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["head", "node", "members"])
 
+    # sets without a region go here: before the shuffle where regions are few enough for Spark to broadcast
     sets = named.select("text").mapInArrow(full, "head long, node binary, members binary").join(regions, "head").select("region", "node", "members")
     sets = materialize(sets, "region-sets")
     sizes = sets.groupBy("region").agg(F.sum(F.octet_length("members")).alias("_bytes"))
