@@ -1,0 +1,3 @@
+from . import catalogue, measures
+
+__all__ = ["catalogue", "measures"]
