@@ -42,21 +42,26 @@ def to_8bit(image: DataFrame) -> DataFrame:
 
 
 def grey_histogram(image: DataFrame, pixels: int, bins: int = 256) -> DataFrame:
-    """(bin, n, center): counts of all pixels between 0 and the maximum; the absent ones are in bin 0."""
-    top = image.agg(F.max("value").cast("double").alias("_max"), (pixels - F.count("*")).alias("_rest"))
-    at = F.least(F.floor(F.coalesce(F.try_divide(F.col("value"), F.col("_max") / bins), F.lit(0.0))), F.lit(bins - 1)).cast("long")
-    counts = image.join(F.broadcast(top)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-    counts = counts.unionAll(top.select(F.lit(0).cast("long").alias("bin"), F.col("_rest").alias("n"))).groupBy("bin").agg(F.sum("n").alias("n"))
-    return counts.join(F.broadcast(top)).select("bin", "n", ((F.col("bin") + 0.5) * F.col("_max") / bins).alias("center"))
+    """(bin, n, center): counts of all pixels in equal bins from the least to the greatest value; absent ones are 0."""
+    rest = pixels - F.count("*")
+    span = image.agg(F.max("value").cast("double").alias("_max"), rest.alias("_rest"), F.when(rest > 0, F.least(F.lit(0.0), F.min("value"))).otherwise(F.min("value")).cast("double").alias("_min"))
+    width = (F.col("_max") - F.col("_min")) / bins
+    at = lambda v: F.least(F.floor(F.coalesce(F.try_divide(v - F.col("_min"), width), F.lit(0.0))), F.lit(bins - 1)).cast("long")
+    counts = image.join(F.broadcast(span)).groupBy(at(F.col("value")).alias("bin")).agg(F.count("*").alias("n"))
+    absent = span.where("_rest > 0").select(at(F.lit(0.0)).alias("bin"), F.col("_rest").alias("n"))
+    counts = counts.unionAll(absent).groupBy("bin").agg(F.sum("n").alias("n"))
+    return counts.join(F.broadcast(span)).select("bin", "n", (F.col("_min") + (F.col("bin") + 0.5) * width).alias("center"))
 
 
 def threshold_otsu(image: DataFrame, pixels: int, bins: int = 256) -> DataFrame:
-    """(threshold,): the bin centre with the largest variance between the two classes; null if the pixels are alike. Windows go over `bins` rows."""
+    """(threshold,): the bin centre with the largest variance between the two classes, the lowest of equals; null if the
+    pixels are alike. Windows go over `bins` rows."""
     below, above = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
     n, m = F.col("n"), F.col("n") * F.col("center")
     mean = lambda w: F.try_divide(F.sum(m).over(w), F.sum(n).over(w))
     between = F.sum(n).over(below) * F.sum(n).over(above) * F.pow(mean(below) - mean(above), 2)
-    return grey_histogram(image, pixels, bins).select("center", between.alias("v")).where("v is not null").agg(F.max_by("center", "v").alias("threshold"))
+    best = grey_histogram(image, pixels, bins).select("center", between.alias("v")).where("v is not null")
+    return best.agg((-F.max(F.struct("v", (-F.col("center")).alias("c")))["c"]).alias("threshold"))
 
 
 def mask_above(image: DataFrame, threshold: DataFrame) -> DataFrame:
