@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import events as E
 from ..operators import graphs as G
 from ..operators import images as I
 from ..operators import spatial as S
@@ -40,8 +41,10 @@ def link_near(spark, d):
 
 @query()
 def kinetic_rates(spark, d):
-    steps = A.locs(spark, d)
-    return tidy(M.kinetic_rates(steps, "group", "x"))
+    steps = G.checkpointed(E.dark_times(E.link_events(A.locs(spark, d))).select("group", "len", "dark"))
+    bright, dark = (M.kinetic_rates(steps, "group", c).withColumnRenamed("rate", f"{c}_cdf") for c in ("len", "dark"))
+    both = bright.join(dark.withColumnRenamed("group", "_group"), F.expr("`group` <=> _group")).drop("_group")
+    return tidy(both.withColumn("qpaint_idx_cdf", 1 / F.col("dark_cdf")))
 
 
 @query(CLUSTERS + ' SELECT "group", cluster, round(frame, 6) AS frame, round(x, 6) AS x, round(y, 6) AS y, round(lpx, 6) AS lpx, round(lpy, 6) AS lpy, n FROM clusters')

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotlake.operators import graphs, images, statistics
+from spotlake.plans import catalogue
 from spotlake.sources import exports
 
 SHAPE = "loc_id long, `group` long, frame long, x double, y double"
@@ -75,6 +76,53 @@ def test_fit_recovers_time_constant(spark):
     assert thin == pytest.approx(t, rel=0.05)
 
 
+def plain_fit(values):
+    """The same least squares from every rank, by numpy."""
+    x = np.sort(np.array(values, float))
+    y = np.arange(1, len(x) + 1, dtype=float)
+    if len(x) <= 2 or x[0] == x[-1]:
+        return float(x.mean())
+
+    def loss(t):
+        g = 1 - np.exp(-x / t)
+        centred = g - g.mean()
+        a = max(0.0, centred @ y / max(centred @ centred, 1e-300))
+        c = y.mean() - a * g.mean()
+        if c < 0:
+            a, c = max(0.0, g @ y / max(g @ g, 1e-300)), 0.0
+        return float(((y - a * g - c) ** 2).sum())
+
+    low, high = max(x[0], 1e-9), x[-1]
+    for _ in range(8):
+        grid = np.geomspace(low, high, 33)
+        best = int(np.argmin([loss(t) for t in grid]))
+        low, high = grid[max(0, best - 1)], grid[min(32, best + 1)]
+    return (low + high) / 2
+
+
+def test_fit_takes_every_rank_of_large_keys(spark):
+    rng = random.Random(4)
+    large = [rng.expovariate(1 / 20) if i % 9 else rng.uniform(0, 300) for i in range(20_000)]
+    sets = {1: large, 2: [float(rng.randint(1, 60)) for _ in range(9000)], 3: [1.0, 1.0, 4.0], None: [2.0, 3.0, 7.0, 7.5], 5: [0.0, 1.0, 1.5, 9.0]}
+    df = spark.createDataFrame([(k, v) for k, values in sets.items() for v in values] + [(1, None), (3, math.nan)], "`group` long, v double")
+    got = {x.group: x.rate for x in statistics.kinetic_rates(df, "group", "v").collect()}
+    # many t fit the two values of key 3 alike; their mean is taken
+    assert got == {k: pytest.approx(2.0 if k == 3 else plain_fit(v), rel=1e-5) for k, v in sets.items()}
+    few = {x.group: x.rate for x in statistics.kinetic_rates(df, "group", "v", folds=2).collect()}
+    assert few == {k: pytest.approx(v, rel=1e-5) for k, v in got.items()}
+
+
+def test_kinetic_query_fits_bright_and_dark_times(spark):
+    d = "/root/testdata/sf0.001"
+    events = catalogue.QUERIES["dark_times"](spark, d).toPandas()
+    got = {x.group: x for x in catalogue.QUERIES["kinetic_rates"](spark, d).collect()}
+    assert set(got) == set(events["group"])
+    for key, own in events.groupby("group"):
+        for name in ("len", "dark"):
+            if own[name].nunique() != 2:
+                assert got[key][f"{name}_cdf"] == pytest.approx(plain_fit(own[name]), rel=1e-4)
+
+
 def test_blur_keeps_mass_and_otsu_parts_two_levels(spark):
     one = spark.createDataFrame([(16, 16, 8.0)], "iy long, ix long, value double")
     got = images.blur(one, 1.0, 33, 33).collect()
