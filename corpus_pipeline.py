@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +18,38 @@ def rank_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score_quality(docs.withColumn("_body", F.col("text")), model, text_col="_body", keep=COLUMNS).where("_predicted = 1").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds `_row`, the place at which a row is written: (none, id, file, row), of which file and row are never null. In
+    its order null ids come last. A table that is no plain Parquet one is written first."""
+    place = [F.unhex(F.md5(F.col("_metadata.file_path").cast("binary"))).alias("file"), F.col("_metadata.row_index").alias("row")]
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *place).alias("_row")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return docs.select(*COLUMNS, own)
+        except AnalysisException:  # files without row numbers
+            pass
+    return materialize(docs.select(*COLUMNS), "pipeline-rows").select(*COLUMNS, own)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of keyed() but for those whose key is the column doc_id of gone."""
+    at = lambda c: [F.col(f"{c}.{x}").alias(f"_{x}") for x in ("file", "row")]
+    return rows.select(*COLUMNS, *at("_row")).join(gone.select(*at("doc_id")), ["_file", "_row"], "left_anti").select(*COLUMNS)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with five-word shingles of similarity 0.8 or more, the document of smallest id stays."""
-    found = jaccard.near_duplicates(docs, shingle=5, threshold="0.8")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of texts with five-word shingles of similarity 0.8 or more, one row stays: that of smallest id, nulls
+    being last, and of those the first written. Texts without words are in no group."""
+    rows = keyed(docs)
+    found = jaccard.near_duplicates(rows, shingle=5, threshold="0.8", id_col="_row")
+    return without(rows, found.where("component_id.file <> doc_id.file or component_id.row <> doc_id.row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose own text holds ten consecutive words of a benchmark item go, whatever their id."""
+    rows = keyed(docs)
+    found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    return without(rows, found.where("n_hit > 0"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

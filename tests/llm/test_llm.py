@@ -357,3 +357,43 @@ def test_pipeline_stages_keep_columns_and_decide(spark):
     assert left.where("component_id <> doc_id").count() <= 1  # redacted texts may grow alike
     packed = packing.pack(docs)
     assert packed.select("doc_id").distinct().count() == seen[-1]
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_pipeline_decides_by_row(spark, tmp_path, written):
+    """Null, repeated and shared ids: each row goes or stays for its own text."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d, e, item = text(80), text(80), text(80), text(80), text(80), text(12)
+    dirty = f"{text(30)} {item} {text(30)}"
+    rows = [(None, a), (None, a + " x"), (None, a), (3, b), (3, b), (3, b + " y"), (4, c), (2, c), (None, c), (5, a + " z"), (5, d), (6, ""), (6, ""), (None, None)]
+    rows += [(None, dirty), (7, dirty + " q"), (7, e), (8, e), (None, text(60))]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    shape = "doc_id long, text string, lang string, source string, n_chars int"
+    docs = spark.createDataFrame(rows, shape)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    if written:
+        docs = common.materialize(docs, "test")
+    plain = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    sets = [set(zip(*[spaced(t)[k:] for k in range(5)], strict=False)) for _, t, *_ in rows]
+    near = lambda x, y: x and y and len(x & y) * 10 >= len(x | y) * 8
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if near(sets[i], sets[j]):
+            root = [root[i] if r == root[j] else r for r in root]
+    classes = {}
+    for i, r in enumerate(root):
+        classes.setdefault(r, []).append(i)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert left.columns == corpus_pipeline.COLUMNS
+    got = plain(left)
+    assert sum(got.values()) == len(classes)
+    for own in classes.values():
+        ids = [rows[i][0] for i in own]
+        least = min((i for i in ids if i is not None), default=None)
+        assert sum(got[x] for x in {(least, rows[i][1]) for i in own if rows[i][0] == least}) >= 1
+    assert got[(5, d)] == 1 and got[(7, e)] == 1 and got[(8, e)] == 0 and got[(2, c)] == 1 and got[(6, "")] == 2
+
+    want = Counter((i, t) for i, t, *_ in rows if f" {item} " not in (t or ""))
+    assert plain(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))) == want
