@@ -29,6 +29,21 @@ def learn_rotation(sample: np.ndarray, bits: int, steps: int = 20, seed: int = 3
     return mean, np.hstack(blocks)[:, :bits]
 
 
+def length_groups(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, lifted rows) from the longest on: a group's rows are more than half as long as its longest, by which they are
+    divided and then given a last number that makes them unit vectors. The angle of a lifted row to a query with a 0
+    there falls as the inner product grows."""
+    scale = np.abs(x).max(axis=1, initial=0.0, keepdims=True)
+    length = (scale * np.sqrt(((x / scale) ** 2).sum(axis=1, keepdims=True))).ravel()
+    left, groups = np.argsort(-length, kind="stable"), []
+    while len(left):
+        n = max(1, int(np.searchsorted(-length[left], -length[left[0]] / 2)))
+        own, left = np.sort(left[:n]), left[n:]
+        unit = x[own] / length[own].max()
+        groups.append((own, np.column_stack([unit, np.sqrt(np.maximum(0.0, 1 - (unit * unit).sum(axis=1)))])))
+    return groups
+
+
 def codes(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray, part_bits: int) -> np.ndarray:
     """rows x parts: the substrings of each row's binary code as integers."""
     signs = ((x - mean) @ rotation > 0).reshape(len(x), -1, part_bits)
@@ -94,6 +109,8 @@ class MultiIndex:
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 128, part_bits: int = 16, radius: int = 56, enough: int = 400, sample: int = 20_000, block: int = 8192, query_block: int = 4096) -> DataFrame:
     """The k nearest rows of each query by inner product; queries are the rows whose id is divisible by `every`.
 
+    Codes are made of lifted rows in groups of like length, each giving candidates of its own, so that they tell inner
+    products and not angles; the floats are the rows' own.
     The rotation is learned on at most `sample` rows (those of the smallest hash of the id); all rows are indexed.
     Rows and queries are dealt into blocks of bounded size by the hash of their ids; each pair of blocks is one
     task, which probes the row block's substring tables and reranks the floats in double precision. The Hamming
@@ -117,7 +134,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     total = sizes[0]["count"]
     asked = rows.where(F.col("id") % every == 0)
     fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
-    mean, rotation = learn_rotation(np.array(fitted.to_list(), float).reshape(-1, dims), bits)
+    mean, rotation = learn_rotation(np.vstack([x for _, x in length_groups(np.array(fitted.to_list(), float).reshape(-1, dims))]), bits)
 
     n_blocks, q_blocks = -(-total // block), max(1, -(-asked.count() // query_block))
     # equal vectors differ in id, so no block is much larger than the mean
@@ -130,10 +147,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         data = data.sort_values("id", kind="stable")
         x, q = np.array(data["v"].to_list(), float), np.array(ask["v"].to_list(), float)
         ids = data["id"].to_numpy()
-        code, asks = codes(x, mean, rotation, part_bits), codes(q, mean, rotation, part_bits)
-        index, found = MultiIndex(code, part_bits, enough + int(np.unique(ids, return_counts=True)[1].max())), []
+        asks = codes(np.vstack([np.append(v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()), 0.0) for v in q]), mean, rotation, part_bits)
+        floor, found = enough + int(np.unique(ids, return_counts=True)[1].max()), []
+        groups = [(rows, MultiIndex(codes(lifted, mean, rotation, part_bits), part_bits, floor)) for rows, lifted in length_groups(x)]
         for one, vector, own in zip(asks, q, ask["id"], strict=True):
-            near = index.nearby(one, radius, enough)
+            near = np.concatenate([rows[index.nearby(one, radius, enough)] for rows, index in groups])
             near = near[ids[near] != own]
             rough = x[near] @ vector
             if len(near) > k:  # the rest cannot win, whatever the last digits

@@ -342,6 +342,21 @@ def test_neighbours_of_clusters_ties_and_odd_vectors(spark):
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_neighbours_of_uneven_lengths(spark):
+    """At the query's own block and number of candidates, a hundredth of the rows being ten times longer."""
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rng.permutation(8000)[:80]] *= 10
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=200).toPandas()
+    hit = 0
+    for q in range(0, 8000, 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(got.loc[got["query_id"] == q, "vec_id"]))
+    assert hit >= 0.95 * 800
+
+
 def test_pipeline_stages_keep_columns_and_decide(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     columns, seen = docs.columns, [docs.count()]
