@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,11 +50,22 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a worker holds few sets at a time."""
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, marked for broadcasting if it has at most `rows` rows. It is counted, so it should be a written table of narrow rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of at most `rows` rows and `size` bytes of text, or of one row, so that a worker holds little at a time."""
     for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch if len(batch) <= rows else batch.take(pa.array(range(at, min(at + rows, len(batch)))))
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        ends = np.cumsum(sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts), np.zeros(len(batch), np.int64)))
+        at = 0
+        while at < len(batch):
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            stop = min(max(stop, at + 1), at + rows, len(batch))
+            yield batch if stop - at == len(batch) else batch.take(pa.array(range(at, stop)))
+            at = stop
 
 
 def lower_words(texts: pa.Array) -> pa.Array:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,100 +73,161 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
-def battery(tokens: DataFrame) -> DataFrame:
-    """Tests of `token`s (without padding) against uniform randomness in the inferred encoding.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    Adds encoding, n, matches (pairs of equal symbols), p_uniform (chi-squared, upper tail, by the cube-root normal
-    approximation), p_runs (runs above and below the middle of the alphabet, two-sided), p_serial (lag-1
-    correlation of codes, two-sided), and p_random: the least of the three times three.
+def tests(token: Column) -> Column:
+    """struct<encoding, n, matches, p_uniform, p_runs, p_serial, p_random>: the battery's tests of a token (without
+    padding) against uniform randomness in its inferred encoding.
+
+    matches: pairs of equal symbols. p_uniform: chi-squared, upper tail, by the cube-root normal approximation. p_runs:
+    runs above and below the middle of the alphabet, two-sided. p_serial: lag-1 correlation of codes, two-sided.
+    p_random: the least of the three times three.
     """
-    encoding = F.coalesce(*[F.when(F.col("token").rlike(rx), name) for name, (rx, _) in ENCODINGS.items()], F.lit("base64"))
-    alphabet = F.coalesce(*[F.when(F.col("encoding") == name, letters) for name, (_, letters) in ENCODINGS.items()])
-    codes = F.transform(F.filter(F.split("token", ""), lambda c: c != ""), lambda c: F.instr(F.col("_alphabet"), c))
-    out = tokens.withColumn("encoding", encoding).withColumn("_alphabet", alphabet).withColumn("_codes", codes)
-    out = out.withColumn("n", F.size("_codes")).withColumn("_k", F.length("_alphabet"))
-    distinct = F.array_distinct("_codes")
-    squares = F.aggregate(distinct, F.lit(0.0), lambda acc, c: acc + F.pow((F.size("_codes") - F.size(F.array_remove("_codes", c))).cast("double"), 2))
-    out = out.withColumn("_squares", squares).withColumn("matches", (F.col("_squares") - F.col("n")) / 2)
-    chi, df = F.col("_k") * F.col("_squares") / F.col("n") - F.col("n"), F.col("_k") - 1.0
-    out = out.withColumn("p_uniform", 1 - normal_cdf((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))))
-    high = F.transform("_codes", lambda c: (c > F.col("_k") / 2).cast("int"))
-    out = out.withColumn("_high", high).withColumn("_n1", F.aggregate("_high", F.lit(0), lambda a, x: a + x))
-    before, after = F.slice("_high", F.lit(1), F.col("n") - 1), F.slice("_high", F.lit(2), F.col("n") - 1)
-    runs = 1 + F.aggregate(F.zip_with(before, after, lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x)
-    n, n1 = F.col("n").cast("double"), F.col("_n1").cast("double")
-    expected = 1 + 2 * n1 * (n - n1) / n
-    spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(TINY)))
-    z_runs = F.when((n1 > 0) & (n1 < n), F.abs(runs - expected) / spread).otherwise(F.sqrt(n))
-    mean = F.aggregate("_codes", F.lit(0.0), lambda a, c: a + c) / n
-    out = out.withColumn("p_runs", 2 * (1 - normal_cdf(z_runs))).withColumn("_mean", mean)
-    out = out.withColumn("_off", F.transform("_codes", lambda c: c - F.col("_mean")))
-    lag = F.aggregate(F.zip_with(F.slice("_off", F.lit(1), F.col("n") - 1), F.slice("_off", F.lit(2), F.col("n") - 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    power = F.aggregate("_off", F.lit(0.0), lambda a, x: a + x * x)
-    z_serial = F.when(power > 0, F.abs(lag / power + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-    out = out.withColumn("p_serial", 2 * (1 - normal_cdf(z_serial)))
-    p_random = F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial"))
-    return out.withColumn("p_random", p_random).drop("_alphabet", "_codes", "_k", "_squares", "_high", "_n1", "_mean", "_off")
-
-
-def discoveries(tested: DataFrame, fdr: float = 0.01, reject: float = 0.01) -> DataFrame:
-    """Of tested tokens, those found random at a false discovery rate of at most `fdr` in each class of length.
-
-    Null hypothesis of a discovery: the token is ordinary text. How often two letters of ordinary text are equal is
-    counted over all candidates that consist of letters; from that follow mean and variance of the number of equal
-    pairs in a token of n letters, and p_text, the chance of so few. Longer tokens tell the two apart better, so
-    p-values are ranked by the Benjamini-Hochberg rule within classes of length (powers of two) and encoding; the
-    ranking goes over a histogram of p-values by hundredths of a decade, so its tables do not grow with the data. Tokens
-    that the battery rejects as random at level `reject` are no discoveries.
+
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    alphabet = lambda e: F.coalesce(*[F.when(e == name, letters) for name, (_, letters) in ENCODINGS.items()])
+
+    def coded(a: Column) -> Column:
+        codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(a["letters"], c).cast("double"))
+        return F.struct(a["encoding"].alias("encoding"), F.length(a["letters"]).cast("double").alias("k"), codes.alias("codes"))
+
+    def summed(x: Column) -> Column:
+        codes, k = x["codes"], x["k"]
+        n = F.size(codes).cast("double")
+        pairs = lambda f: F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), f)
+        equal = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.size(F.array_remove(codes, c)), F.lit(2.0)))
+        ends = F.element_at(codes, 1) + F.element_at(codes, -1)
+        return F.struct(
+            x["encoding"].alias("encoding"), k.alias("k"), n.alias("n"), equal.alias("equal"), total(F.transform(codes, lambda c: (c > k / 2).cast("double"))).alias("up"),
+            total(pairs(lambda a, b: ((a > k / 2) != (b > k / 2)).cast("double"))).alias("turns"), total(codes).alias("sum"), total(F.transform(codes, lambda c: c * c)).alias("squares"),
+            total(pairs(lambda a, b: a * b)).alias("lagged"), ends.alias("ends"),
+        )
+
+    def scored(x: Column) -> Column:
+        n, up, df, mean = x["n"], x["up"], x["k"] - 1, x["sum"] / x["n"]
+        z_uniform = (F.pow(F.greatest(x["k"] * x["equal"] / n - n, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        expected = 2 * up * (n - up) / n  # runs, less one
+        spread = F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(TINY)))
+        z_runs = F.when((up > 0) & (up < n), F.abs(x["turns"] - expected) / spread).otherwise(F.sqrt(n))
+        power, lag = x["squares"] - n * mean * mean, x["lagged"] - mean * (2 * x["sum"] - x["ends"]) + (n - 1) * mean * mean
+        z_serial = F.when(power > TINY, F.abs(lag / power + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
+        kept = [x["encoding"].alias("encoding"), n.cast("int").alias("n"), ((x["equal"] - n) / 2).alias("matches")]
+        return F.struct(*kept, z_uniform.alias("uniform"), z_runs.alias("runs"), z_serial.alias("serial"))
+
+    def judged(x: Column) -> Column:
+        kept = [x[c].alias(c) for c in ("encoding", "n", "matches")]
+        return F.struct(*kept, (1 - normal_cdf(x["uniform"])).alias("p_uniform"), (2 * (1 - normal_cdf(x["runs"]))).alias("p_runs"), (2 * (1 - normal_cdf(x["serial"]))).alias("p_serial"))
+
+    def joint(x: Column) -> Column:
+        kept = [x[c].alias(c) for c in ("encoding", "n", "matches", "p_uniform", "p_runs", "p_serial")]
+        return F.struct(*kept, F.least(F.lit(1.0), 3 * F.least(x["p_uniform"], x["p_runs"], x["p_serial"])).alias("p_random"))
+
+    start = F.transform(F.array(inferred(token)), lambda e: F.struct(e.alias("encoding"), alphabet(e).alias("letters")))
+    for step in (coded, summed, scored, judged, joint):
+        start = F.transform(start, step)
+    return F.element_at(start, 1)
+
+
+def inferred(token: Column) -> Column:
+    """The narrowest encoding whose alphabet holds the whole token."""
+    return F.coalesce(*[F.when(token.rlike(rx), name) for name, (rx, _) in ENCODINGS.items()], F.lit("base64"))
+
+
+def battery(tokens: DataFrame) -> DataFrame:
+    """Adds the fields of tests() for the column `token`."""
+    return tokens.withColumn("_tests", tests(F.col("token"))).select("*", "_tests.*").drop("_tests")
+
+
+class Discovery:
+    """Which tokens are found random, as thresholds fitted on all distinct tokens of a corpus.
+
+    Two null hypotheses are ranked by the Benjamini-Hochberg rule, each at level `fdr` within classes of encoding and
+    length (powers of two), as longer tokens tell random keys and text better apart.
+    Ordinary text: how often two letters of text are equal is counted over all candidates that consist of letters; from
+    that follow mean and variance of the number of equal pairs (on which chi-squared rests) in n letters, and p_text, the
+    chance of so few. Randomness: p_random of the battery. A discovery is a token for which text is rejected and
+    randomness is not. The ranks go over histograms of p-values by hundredths of a decade, so what the driver sees is one
+    threshold a class and hypothesis, however large the corpus; each document then judges its own tokens.
     """
-    letters = tested.where("encoding not in ('decimal', 'hex', 'HEX') and token rlike '^[A-Za-z]+$'").select(F.lower("token").alias("t"))
-    totals = letters.agg(*[F.sum(F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))).alias(c) for c in LETTERS]).first()
-    counts = [float(totals[c] or 0) + 1.0 for c in LETTERS]
-    q = [c / sum(counts) for c in counts]
-    s2, s3 = sum(x * x for x in q), sum(x**3 for x in q)
-    n = F.col("n").cast("double")
-    pairs = n * (n - 1) / 2
-    spread = F.sqrt(F.greatest(pairs * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2), F.lit(TINY)))
-    p_text = normal_cdf((F.col("matches") - pairs * s2) / spread)
-    # digits among letters: text has them at its ends, if at all; each change between the two is as unlikely as 1 in 8
-    changes = F.size(F.split("token", "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")) - 1
-    cases = F.size(F.split("token", "(?<=[a-z])(?=[A-Z])")) - 1
-    p_text = p_text * F.pow(F.lit(0.125), F.greatest(changes - 1, F.lit(0))) * F.pow(F.lit(0.25), cases)
-    ranked = tested.withColumn("p_text", F.greatest(p_text, F.lit(TINY)))
-    ranked = ranked.withColumn("_class", F.floor(F.log2("n")).cast("int")).withColumn("_bin", F.ceil(100 * F.log10("p_text")).cast("int"))
-    bins = ranked.groupBy("encoding", "_class", "_bin").agg(F.count("*").alias("_n"), F.max("p_text").alias("_p"))
-    by = Window.partitionBy("encoding", "_class")
-    bins = bins.withColumn("_rank", F.sum("_n").over(by.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(by))
-    cut = bins.where(F.col("_p") <= fdr * F.col("_rank") / F.col("_all")).groupBy("encoding", "_class").agg(F.max("_bin").alias("_cut"))
-    found = ranked.join(F.broadcast(cut), ["encoding", "_class"]).where((F.col("_bin") <= F.col("_cut")) & (F.col("p_random") >= reject))
-    return found.drop("_class", "_bin", "_cut")
+
+    def __init__(self, tested: DataFrame, fdr: float = 0.01):
+        letters = tested.where("encoding not in ('decimal', 'hex', 'HEX') and token rlike '^[A-Za-z]+$'").select(F.lower("token").alias("t"))
+        totals = letters.agg(*[F.sum(F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))).alias(c) for c in LETTERS]).first()
+        counts = [float(totals[c] or 0) + 1.0 for c in LETTERS]
+        q = [c / sum(counts) for c in counts]
+        self.s2, self.s3 = sum(x * x for x in q), sum(x**3 for x in q)
+        ranked = tested.select("encoding", self.size_class(F.col("n")).alias("class"), self.bin(self.p_text(F.col("token"), F.col("n"), F.col("matches"))).alias("text"), self.bin(F.col("p_random")).alias("random"))
+        each = ranked.select("encoding", "class", F.explode(F.create_map(F.lit("text"), "text", F.lit("random"), "random")).alias("null", "bin"))
+        cell = each.groupBy("encoding", "class", "null", "bin").agg(F.count("*").alias("n"))
+        by = Window.partitionBy("encoding", "class", "null")
+        up_to = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        passed = F.pow(F.lit(10.0), F.col("bin") / 100) <= fdr * up_to / F.sum("n").over(by)
+        self.cuts = cell.withColumn("passed", passed).where("passed").groupBy("encoding", "class", "null").agg(F.max("bin").alias("bin")).collect()
+
+    def p_text(self, token: Column, size: Column, matches: Column) -> Column:
+        n = size.cast("double")
+        pairs = n * (n - 1) / 2
+        spread = F.sqrt(F.greatest(pairs * (self.s2 + 2 * (n - 2) * self.s3 - (2 * n - 3) * self.s2 * self.s2), F.lit(TINY)))
+        # digits among letters: text has them at its ends, if at all; each change between the two is as unlikely as 1 in 8
+        changes = F.size(F.split(token, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")) - 1
+        cases = F.size(F.split(token, "(?<=[a-z])(?=[A-Z])")) - 1
+        return let((matches - pairs * self.s2) / spread, normal_cdf) * F.pow(F.lit(0.125), F.greatest(changes - 1, F.lit(0))) * F.pow(F.lit(0.25), cases)
+
+    @staticmethod
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log2(n.cast("double"))).cast("int")
+
+    @staticmethod
+    def bin(p: Column) -> Column:
+        return F.ceil(100 * F.log10(F.greatest(p, F.lit(TINY)))).cast("int")
+
+    def judge(self, token: Column) -> Column:
+        """Whether a token is a discovery; the battery runs only for classes that have any."""
+        cut = {null: F.create_map(*[x for r in self.cuts if r["null"] == null for x in (F.lit(f"{r['encoding']} {r['class']}"), F.lit(r["bin"]))]) for null in ("text", "random")}
+        if not any(r["null"] == "text" for r in self.cuts):
+            return F.lit(False)
+        rejects = any(r["null"] == "random" for r in self.cuts)
+        key = F.concat_ws(" ", inferred(token), self.size_class(F.length(token)).cast("string"))
+
+        def decide(found: Column, name: Column) -> Column:
+            text = self.bin(self.p_text(token, found["n"], found["matches"])) <= F.try_element_at(cut["text"], name)
+            return text & (self.bin(found["p_random"]) > F.coalesce(F.try_element_at(cut["random"], name), F.lit(-(10**6)))) if rejects else text
+
+        return let(key, lambda name: F.when(F.try_element_at(cut["text"], name).isNotNull(), let(tests(token), lambda found: decide(found, name))).otherwise(False))
+
+
+def discoveries(tested: DataFrame, fdr: float = 0.01) -> DataFrame:
+    """The rows of tested tokens that are found random; see Discovery."""
+    return tested.where(Discovery(tested, fdr).judge(F.col("token")))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, fdr: float = 0.01) -> DataFrame:
     """Adds `spans` to the columns `keep` of docs: array<struct<kind, start, end>> by start and kind, in code points.
 
     Kinds assign, access and hex are matches of fixed patterns in whole texts; kind random is added by the battery
-    for tokens that do not overlap those. A null text is empty; an empty table gives no rows; repeated rows are
-    scanned each. Any columns may be kept but `spans` itself, which is replaced.
+    for tokens that do not overlap those. A first pass writes the distinct tokens of all documents and fits the
+    thresholds on them; a second one scans each document where it is read, so that no text is shuffled or written.
+    A null text is empty; a text of any length is scanned whole; an empty table gives no rows; repeated rows are scanned each.
+    Any columns may be kept but `spans` itself, which is replaced; others are ignored.
     """
     names = [c for c in keep or docs.columns if c != "spans"]
     rows = docs.select(F.struct(*names).alias("_in"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    tokens = rows.where(F.col("_text").rlike(CANDIDATE)).select(F.explode(F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).alias("_hit"))
-    tokens = tokens.groupBy("_hit").agg(F.count("*").alias("_times")).withColumn("token", F.rtrim(F.col("_hit"), F.lit("=")))
-    tested = materialize(battery(tokens), "tokens")
-    random = discoveries(tested, fdr).select(F.col("_hit").alias("hit"))
-    # places of candidates: only these narrow rows are joined with the discoveries, and go back to their document
-    marked = rows.select("_in", F.md5(F.col("_text").cast("binary")).alias("_key"), base_spans(F.col("_text")).alias("_base"), located(F.col("_text"), CANDIDATE).alias("_candidates"))
-    marked = materialize(marked, "scanned")
-    places = marked.select("_key", F.explode("_candidates").alias("c")).select("_key", "c.*").distinct()
-    added = places.join(random, "hit").groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_random"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    free = F.filter(F.coalesce("_random", empty), lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    tokens = rows.where(F.col("_text").rlike(CANDIDATE)).select(F.explode(F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).alias("hit"))
+    tokens = tokens.select(F.rtrim(F.col("hit"), F.lit("=")).alias("token")).distinct()
+    found = Discovery(materialize(battery(tokens), "tokens"), fdr)
+    random = F.filter(located(F.col("_text"), CANDIDATE), lambda c: found.judge(F.rtrim(c["hit"], F.lit("="))))
+    if not any(r["null"] == "text" for r in found.cuts):  # no token of the corpus is a discovery
+        random = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    marked = rows.select("_in", base_spans(F.col("_text")).alias("_base"), random.alias("_random"))
+    free = F.filter("_random", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     order = lambda s: F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).when(s["kind"] == "hex", 2).otherwise(3)
     both = F.concat("_base", F.transform(free, lambda r: F.struct(F.lit("random").alias("kind"), r["start"].alias("start"), r["end"].alias("end"))))
     keyed = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), order(s).alias("o"), s["kind"].alias("kind"), s["end"].alias("end"))))
     spans = F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return marked.join(added, "_key", "left").select("_in.*", spans.alias("spans"))
+    return marked.select("_in.*", spans.alias("spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
