@@ -32,9 +32,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of keyed() but for those whose key is the column doc_id of gone."""
+    """Rows of keyed() but for those whose key is the column doc_id of gone. That table is written first, so that Spark knows
+    its size and shuffles the texts only if it is too large to be broadcast."""
     at = lambda c: [F.col(f"{c}.{x}").alias(f"_{x}") for x in ("file", "row")]
-    return rows.select(*COLUMNS, *at("_row")).join(gone.select(*at("doc_id")), ["_file", "_row"], "left_anti").select(*COLUMNS)
+    gone = materialize(gone.select(*at("doc_id")), "gone")
+    return rows.select(*COLUMNS, *at("_row")).join(gone, ["_file", "_row"], "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
