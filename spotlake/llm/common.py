@@ -55,6 +55,15 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hashed_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """The `limit` rows of the smallest hash of `key`. Rows of larger hashes are left out before they are sorted, so that a
+    task sends the driver its share of the sample and not `limit` rows."""
+    n, order = df.count(), F.xxhash64(key)
+    if n > 4 * limit:
+        df = df.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 2 * limit / n))
+    return df.orderBy(F.pmod(order, F.lit(1 << 30)), order, key).limit(limit)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """Smaller batches of at most `rows` rows and `size` bytes of text, or of one row, so that a worker holds little at a time."""
     for batch in batches:

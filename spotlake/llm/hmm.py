@@ -1,4 +1,4 @@
-"""Language-model scores by a hidden Markov model over word classes."""
+"""Language-model scores by a hidden Markov model whose states emit words."""
 
 from __future__ import annotations
 
@@ -10,14 +10,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_crc, lower_words, materialize, slices
 
-#: Classes: the end, then the most frequent words, one each, then words by their last two bytes.
-FREQUENT, SUFFIXES = 159, 96
-CLASSES = 1 + FREQUENT + SUFFIXES
+#: What states emit: the end (0), each frequent word (1 to their number), and rare words by their last two bytes.
+SUFFIXES = 96
 SEGMENT = 1024
 
 
@@ -34,8 +33,8 @@ def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return owner, ids, coded.dictionary
 
 
-def suffix_class(word: bytes) -> int:
-    return 1 + FREQUENT + zlib.crc32(word[-2:]) % SUFFIXES
+def suffix_class(word: bytes, frequent: int) -> int:
+    return 1 + frequent + zlib.crc32(word[-2:]) % SUFFIXES
 
 
 @dataclass
@@ -50,7 +49,7 @@ class Hmm:
 def first_model(states: int, totals: np.ndarray, seed: int = 11) -> Hmm:
     """States that tend to stay, and emissions drawn around the corpus' class frequencies."""
     rng = np.random.default_rng(seed)
-    emission = (totals[:, None] + 1.0) * rng.gamma(1.0, 1.0, (CLASSES, states))
+    emission = (totals[:, None] + 1.0) * rng.gamma(1.0, 1.0, (len(totals), states))
     move = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     return Hmm(np.full(states, 1 / states), move, emission / emission.sum(axis=0))
@@ -126,53 +125,70 @@ def forward(model: Hmm, seen: np.ndarray, sizes: np.ndarray, counts: bool = Fals
             heads = nth[by] == 0
             first = enter[heads] * back[heads]
             starts = (first / first.sum(axis=1, keepdims=True)).sum(axis=0)
-    emissions = np.stack([np.bincount(seen, weights=gamma[:, j], minlength=CLASSES) for j in range(s)], axis=1)
+    emissions = np.stack([np.bincount(seen, weights=gamma[:, j], minlength=len(model.emission)) for j in range(s)], axis=1)
     return likelihood, starts, moves * model.move, emissions
 
 
-def train(sequences: DataFrame, totals: np.ndarray, states: int = 4, rounds: int = 4) -> Hmm:
-    """Baum-Welch over all sequences (binary column `classes`): each round sums the tasks' expected counts, a table of
-    states * (states + classes + 1) numbers."""
-    model = first_model(states, totals)
+def train(sequences: DataFrame, totals: np.ndarray, states: int = 4, rounds: int = 4, prior: float = 20.0) -> Hmm:
+    """Baum-Welch over all sequences (binary column `classes` of 32-bit numbers).
+
+    Each round, tasks emit the expected counts of what they have seen, a row for each class with a number a state; the
+    rows are summed by a shuffle. Every state has `prior` counts more, distributed like `totals`, the corpus' counts of classes.
+    """
+    model, spark = first_model(states, totals), sequences.sparkSession
+    names, share = [f"n{j}" for j in range(states)], totals / max(1.0, totals.sum())
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 + states + CLASSES, states))
-        for batch in slices(batches, 4000):
-            raw = batch.column(0)
-            seen, sizes = np.frombuffer(b"".join(raw.to_pylist()), np.uint8), pc.binary_length(raw).to_numpy()
-            if len(seen):
-                _, starts, moves, emissions = forward(model, seen, sizes, counts=True)
-                total += np.vstack([starts, moves, emissions])
-        i, j = np.indices(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "n"])
+        hmm, total = current.value, np.zeros((1 + states + len(totals), states))
+        for seen, sizes, _ in sequence_slices(batches):
+            _, starts, moves, emissions = forward(hmm, seen, sizes, counts=True)
+            total += np.vstack([starts, moves, emissions])
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, j]) for j in range(states))], ["k", *names])
 
     for _ in range(rounds):
-        got = sequences.select("classes").mapInArrow(expect, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
-        total = np.zeros((1 + states + CLASSES, states))
-        total[got["i"], got["j"]] = got["n"]
-        start, moves, emissions = total[0] + 0.1, total[1 : 1 + states] + 0.1, total[1 + states :] + 0.01
+        current = spark.sparkContext.broadcast(model)
+        got = sequences.select("classes").mapInArrow(expect, "k long, " + ", ".join(f"{c} double" for c in names))
+        got = got.groupBy("k").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+        total = np.zeros((1 + states + len(totals), states))
+        total[got["k"]] = got[names]
+        start, moves, emissions = total[0] + 0.1, total[1 : 1 + states] + 0.1, total[1 + states :] + prior * share[:, None] + 1e-6
         model = Hmm(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
     return model
 
 
-def class_of(token: Column, frequent: list[str]) -> Column:
-    """The class of a token; the end is the empty token."""
-    suffix = F.crc32(F.substring(token.cast("binary"), -2, 2)) % SUFFIXES + 1 + FREQUENT
-    named = F.array_position(F.array(*[F.lit(w) for w in frequent]).cast("array<string>"), token)
-    return F.when(token == "", 0).when(token.isin(frequent), named).otherwise(suffix).cast("int")
+def sequence_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(concatenated classes, lengths, batch) of slices of about half a million tokens; `classes` is the last column."""
+    for batch in slices(batches, 4000, 2_000_000):
+        raw = batch.column(batch.num_columns - 1)
+        if len(batch):
+            yield np.frombuffer(b"".join(raw.to_pylist()), np.int32), pc.binary_length(raw).to_numpy() // 4, batch
+
+
+def frequent_from(counts: DataFrame, head: int, least: int) -> int:
+    """The count from which on there are at most `head` words, at least `least`. Found on a histogram of counts."""
+    bins = counts.where(F.col("c") >= least).groupBy(F.floor(F.log2(F.col("c").cast("double")) * 64).alias("b")).agg(F.min("c").alias("c"), F.count("*").alias("n")).collect()
+    edge, room = 1 << 62, head
+    for r in sorted(bins, key=lambda r: -r["b"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        edge = r["c"]
+    return edge
 
 
-def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, states: int = 4, rounds: int = 4, head: int = 200_000) -> DataFrame:
+def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, states: int = 4, rounds: int = 4, head: int = 100_000, least: int = 3) -> DataFrame:
     """Score whole texts by a unigram base and by a hidden Markov model, both learnt from all training documents: those whose
     crc32(doc_id as text) mod folds is not held_out (a null id counts as an empty text).
 
-    The model: latent states emit word classes, a class emits its words by their counts with half a count added,
-    an unknown word being one more of its class. score is the log10 probability of the words and the end.
+    The model: latent states emit the end, frequent words (the `head` most frequent with `least` occurrences, or as many
+    as have clearly more than the rest), and classes of rare words, which in turn emit their words by counts with half a count added, an
+    unknown word being one more of its class. score is the log10 probability of the words and the end.
 
-    Counts of the `head` most frequent words are sent to every task; the words of a document beyond those are joined
-    with the counts by a shuffle, summed up for each document beforehand. A null or empty text is just an end;
-    repeated rows are scored each; an empty table gives no rows. Returns doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score.
+    Counts and emissions of frequent words are sent to every task; the other words of a document are joined
+    with the counts by a shuffle, summed up for each document beforehand. A null or empty text is just an end; texts of any
+    length are scored whole; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.pmod(id_crc(F.col(id_col)), F.lit(folds)) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -187,27 +203,28 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     counted = rows.where("not held_out").select("text").mapInArrow(count, "token string, n long")
     counts = materialize(counted.groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
-    known = counts.orderBy(F.desc("c"), "token").limit(head).toPandas()
+    edge = frequent_from(counts.where("token <> ''"), head, least)
+    known = counts.where((F.col("c") >= edge) & (F.col("token") != "")).toPandas().sort_values(["c", "token"], ascending=[False, True])
     ends = counts.where("token = ''").select(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    frequent = [w for w in known["token"][: FREQUENT + 1] if w != ""][:FREQUENT]
-    per = counts.groupBy(class_of(F.col("token"), frequent).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
-    mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    n_frequent = len(known)
+    suffix = (F.crc32(F.substring(F.col("token").cast("binary"), -2, 2)) % SUFFIXES).cast("int")
+    per = counts.where((F.col("c") < edge) & (F.col("token") != "")).groupBy(suffix.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
+    mass, kinds = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
     mass[per["k"]], kinds[per["k"]] = per["n"], per["v"]
-    train_tokens, vocabulary = int(mass.sum()), int(kinds.sum())
-    log_class = np.log10(mass + 0.5 * (kinds + 1))
-    share = docs.sparkSession.sparkContext.broadcast((known["token"].to_numpy(object), known["c"].to_numpy(np.int64), frequent))
+    totals = np.concatenate([[ends], known["c"].to_numpy(float), mass])
+    train_tokens, vocabulary = int(totals.sum()), int((ends > 0) + n_frequent + kinds.sum())
+    log_class = np.concatenate([np.zeros(1 + n_frequent), np.log10(mass + 0.5 * (kinds + 1))])
+    share = docs.sparkSession.sparkContext.broadcast((known["token"].to_numpy(object), known["c"].to_numpy(np.int64)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, c, frequent = share.value
+        tokens, c = share.value
         value_set = pa.array(tokens, pa.large_string())
-        named = pa.array(frequent, pa.large_string())
         for batch in slices(batches):
             owner, ids, words = tokenize(batch.column(2))
             at = pc.fill_null(pc.index_in(words, value_set=value_set), -1).to_numpy(zero_copy_only=False)
-            special = pc.fill_null(pc.index_in(words, value_set=named), -1).to_numpy(zero_copy_only=False)
             tails = pc.binary_slice(words.cast(pa.large_binary()), -2).dictionary_encode()
-            kinds = np.array([suffix_class(x) for x in tails.dictionary.to_pylist()] or [0], np.uint8)[tails.indices.to_numpy(zero_copy_only=False)]
-            kinds = np.where(special >= 0, special + 1, kinds).astype(np.uint8)
+            kinds = np.array([suffix_class(x, len(tokens)) for x in tails.dictionary.to_pylist()] or [0], np.int32)[tails.indices.to_numpy(zero_copy_only=False)]
+            kinds = np.where(at >= 0, at + 1, kinds).astype(np.int32)
             n, docs = np.bincount(owner, minlength=len(batch)), len(batch)
             logs = np.log10(np.append(c, 0) + 0.5)
             known = at[ids] >= 0
@@ -218,22 +235,20 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             offsets = pa.array(np.searchsorted(who, np.arange(docs + 1)).astype(np.int32))
             tail = pa.ListArray.from_arrays(offsets, words.take(pa.array(which)).cast(pa.string()))
             times = pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))
-            flat, stops = kinds[ids].tobytes(), np.cumsum(n)
-            seqs = pa.array([flat[e - m : e] + b"\0" for e, m in zip(stops.tolist(), n.tolist(), strict=True)], pa.binary())
+            flat, stops = kinds[ids], np.cumsum(n)
+            seqs = pa.array([flat[e - m : e].tobytes() + b"\0\0\0\0" for e, m in zip(stops.tolist(), n.tolist(), strict=True)], pa.binary())
             key = pa.array(entropy.randbits(62) + np.arange(docs, dtype=np.int64))
             out = [key, batch.column(0), batch.column(1), pa.array(n + 1), pa.array(hits.astype(np.int64)), pa.array(a), tail, times, seqs]
             yield pa.RecordBatch.from_arrays(out, ["key", "doc_id", "held_out", "n_tokens", "hits", "a", "tail", "times", "classes"])
 
     shape = f"key long, doc_id {id_type}, held_out boolean, n_tokens long, hits long, a double, tail array<string>, times array<int>, classes binary"
     found = materialize(rows.mapInArrow(look_up, shape), "lm-rows")
-    model = train(found.where("not held_out"), mass, states, rounds)
+    model = docs.sparkSession.sparkContext.broadcast(train(found.where("not held_out"), totals, states, rounds))
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000):
-            raw = batch.column(batch.num_columns - 1)
-            seen, sizes = np.frombuffer(b"".join(raw.to_pylist()), np.uint8), pc.binary_length(raw).to_numpy()
+        for seen, sizes, batch in sequence_slices(batches):
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            value = forward(model, seen, sizes) / np.log(10) - np.bincount(owner, weights=log_class[seen], minlength=len(sizes))
+            value = forward(model.value, seen, sizes) / np.log(10) - np.bincount(owner, weights=log_class[seen], minlength=len(sizes))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value)], [*kept, "hmm"])
 
     kept = ["key", "doc_id", "held_out", "n_tokens", "hits", "a"]
@@ -241,6 +256,6 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rare = found.select("key", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("key", F.col("t.tail").alias("token"), F.col("t.times").alias("tf"))
     rare = rare.join(counts, "token", "left").groupBy("key").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("ra"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rn"))
     scored = scored.join(rare, "key", "left")
-    a = F.col("a") + F.coalesce("ra", F.lit(0.0))
-    base = a - F.col("n_tokens") * F.lit(float(np.log10(train_tokens + 0.5 * (vocabulary + 1))))
-    return scored.select("doc_id", "held_out", "n_tokens", (F.col("hits") + F.coalesce("rn", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (a + F.col("hmm")).alias("score"))
+    rare_words = F.coalesce("ra", F.lit(0.0))
+    base = F.col("a") + rare_words - F.col("n_tokens") * F.lit(float(np.log10(train_tokens + 0.5 * (vocabulary + 1))))
+    return scored.select("doc_id", "held_out", "n_tokens", (F.col("hits") + F.coalesce("rn", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (rare_words + F.col("hmm")).alias("score"))

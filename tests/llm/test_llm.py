@@ -180,9 +180,9 @@ def naive_forward(model, seen):
 def test_forward_is_exact_and_training_raises_likelihood(monkeypatch):
     monkeypatch.setattr(hmm, "SEGMENT", 7)
     rng = np.random.default_rng(6)
-    seen = rng.integers(0, hmm.CLASSES, 400).astype(np.uint8)
+    seen = rng.integers(0, 256, 400).astype(np.int32)
     sizes = np.array([1, 7, 8, 100, 3, 281])
-    model = hmm.first_model(3, np.bincount(seen, minlength=hmm.CLASSES).astype(float))
+    model = hmm.first_model(3, np.bincount(seen, minlength=256).astype(float))
     stops = np.cumsum(sizes)
     want = [naive_forward(model, seen[e - n : e]) for e, n in zip(stops, sizes, strict=True)]
     assert hmm.forward(model, seen, sizes) == pytest.approx(want)
@@ -209,6 +209,69 @@ def test_language_scores(spark, odd):
     assert hmm.score_language(odd.where("false"), rounds=1).count() == 0
 
 
+def naive_scores(docs, head, least, states, rounds):
+    """The model of score_language on lists and single sequences, one step after another."""
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs}
+    texts = {i: spaced(t) for i, t in docs}
+    count = Counter(w for i in texts if not held[i] for w in texts[i])
+    bins = {}
+    for w, c in count.items():
+        if c >= least:
+            bins.setdefault(math.floor(math.log2(c) * 64), []).append(w)
+    frequent = []
+    for b in sorted(bins, reverse=True):
+        if len(frequent) + len(bins[b]) > head:
+            break
+        frequent += bins[b]
+    frequent.sort(key=lambda w: (-count[w], w))
+    tail = lambda w: zlib.crc32(w.encode()[-2:]) % 96
+    place = {w: i + 1 for i, w in enumerate(frequent)}
+    kind = lambda w: place[w] if w in place else 1 + len(frequent) + tail(w)
+    totals = np.zeros(1 + len(frequent) + 96)
+    totals[0] = sum(not h for h in held.values())
+    types = Counter()
+    for w, c in count.items():
+        totals[kind(w)] += c
+        types[kind(w)] += 1
+    model = hmm.first_model(states, totals)
+    sequences = {i: [*map(kind, t), 0] for i, t in texts.items()}
+    for _ in range(rounds):
+        start, moves, emissions = np.full(states, 0.1), np.full((states, states), 0.1), np.repeat(20.0 * totals[:, None] / totals.sum() + 1e-6, states, axis=1)
+        for i, x in sequences.items():
+            if held[i]:
+                continue
+            alphas, beta = [model.start], np.ones(states)
+            for k in x:
+                a = (alphas[-1] @ model.move) * model.emission[k]
+                alphas.append(a / a.sum())
+            for t in range(len(x) - 1, -1, -1):
+                w = model.emission[x[t]] * beta
+                both = alphas[t][:, None] * model.move * w
+                both /= both.sum()
+                moves += both
+                emissions[x[t]] += both.sum(axis=0)
+                beta = model.move @ w
+                beta /= beta.sum()
+                if t == 0:
+                    start += both.sum(axis=1)
+        model = hmm.Hmm(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
+    out = {}
+    for i, x in sequences.items():
+        rare = [w for w in texts[i] if w not in place]
+        inside = sum(math.log10((count[w] + 0.5) / (totals[kind(w)] + 0.5 * (types[kind(w)] + 1))) for w in rare)
+        out[i] = naive_forward(model, x) / math.log(10) + inside
+    return out
+
+
+@pytest.mark.parametrize(("head", "least"), [(100, 3), (4, 1)])
+def test_language_model_equals_naive_one(spark, head, least):
+    docs = [(i, " ".join(random.Random(i).choice(["the", "a", "of", "cat", "dog", f"w{i % 7}", f"v{i}"]) for _ in range(i % 23))) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = naive_scores(docs, head, least, states=3, rounds=3)
+    got = {r.doc_id: r.score for r in hmm.score_language(frame, states=3, rounds=3, head=head, least=least).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_archives_round_trip(spark):
     html = ["<p>" + "a" * 200, "<p>" + "a" * 200, "short", "short", None, "é" * 5000, "<p>" + "a" * 200]
     ids = [3, 1, 5, 4, 6, 7, None]
