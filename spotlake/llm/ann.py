@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hashed_sample, materialize
 
 
 def learn_rotation(sample: np.ndarray, bits: int, steps: int = 20, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     rows = rows.where(F.size("v") == dims)
     total = sizes[0]["count"]
     asked = rows.where(F.col("id") % every == 0)
-    fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
+    fitted = hashed_sample(rows, "id", sample).select("v").toPandas()["v"]
     mean, rotation = learn_rotation(np.vstack([x for _, x in length_groups(np.array(fitted.to_list(), float).reshape(-1, dims))]), bits)
 
     n_blocks, q_blocks = -(-total // block), max(1, -(-asked.count() // query_block))

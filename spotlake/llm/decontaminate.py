@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, small
 
 #: What separates words, once A-Z are lower case: ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,29 +53,25 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     words; null item_ids count for hits but are not listed; repeated items count once; every document row, repeated
     or not, gives a row. Empty tables: no documents, no rows; no items, no hits.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     rows = rows.select("doc_id", F.md5(F.coalesce("_text", F.lit("")).cast("binary")).alias("_md5"), words(F.col("_text")).alias("_words"))
     windows = materialize(item_windows(items, window).distinct(), "windows")
     vocabulary = materialize(windows.select(F.explode("words").alias("word")).distinct(), "item-words")
 
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_rows else df
-
-    seen = rows.select(F.explode("_words").alias("word")).join(small(vocabulary), "word", "left_semi")
-    counts = seen.groupBy("word").agg(F.count("*").alias("n"))
+    seen = rows.select(F.explode("_words").alias("word")).join(small(vocabulary, broadcast_rows), "word", "left_semi")
+    counts = materialize(seen.groupBy("word").agg(F.count("*").alias("n")), "item-word-counts")
     places = windows.select("item_id", "words", F.posexplode("words").alias("at", "word"))
-    places = places.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    places = places.join(small(counts, broadcast_rows), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = places.groupBy("item_id", "words").agg(F.min(F.struct("n", "word", "at")).alias("r"))
     rarest = rarest.where("r.n > 0").select(F.col("r.word").alias("word"), F.col("r.at").alias("_at"), F.col("item_id"), F.col("words").alias("_window"))
-    ends = spark.createDataFrame([(END,)], "word string").select("word", F.lit(None).cast("int").alias("_at"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("array<string>").alias("_window"))
+    ends = docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(None).cast("int").alias("_at"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("array<string>").alias("_window"))
     prefixes = materialize(rarest.unionAll(ends), "prefixes")
 
     # window - 1 words on either side of a prefix token hold every place of its windows
     first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     tokens = rows.withColumn("_words", F.array_append("_words", END)).select("doc_id", "_md5", "_words", F.posexplode("_words").alias("pos", "word"))
     tokens = tokens.select("doc_id", "_md5", "pos", "word", first.alias("_first"), F.slice("_words", first + 1, F.lit(2 * window - 1)).alias("_near"))
-    found = tokens.join(small(prefixes), "word")
+    found = tokens.join(small(prefixes, broadcast_rows), "word")
     start, size = F.col("pos") - F.col("_at"), F.size("_window")
     here = F.slice("_near", start - F.col("_first") + 1, size)
     is_end = F.col("_window").isNull()

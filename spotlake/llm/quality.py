@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import hashed_sample, id_crc
 
 KINDS = ("lower", "upper", "digit", "space", "newline", "stop", "mark", "symbol", "pipe", "other")
 _KIND = np.full(256, KINDS.index("other"), np.uint8)
@@ -102,7 +102,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pairs:
     labels every document gets the same score, over the threshold unless all labels are 0.
     """
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    own = own.where(F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) != held_out).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    own = hashed_sample(own.where(F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) != held_out), "doc_id", sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = text_features(texts.join(F.broadcast(own.select("doc_id").distinct()), "doc_id", "left_semi")).join(F.broadcast(own), "doc_id").orderBy("doc_id").toPandas()
     x = np.array(rows["features"].to_list(), float).reshape(-1, len(FEATURES))
@@ -111,9 +111,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pairs:
 
 
 def score_quality(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, score, predicted), or the columns `keep`, score and predicted: one row per row of docs.
+    """(doc_id, _score, _predicted), or the columns `keep`, _score and _predicted: one row per row of docs, repeated or not.
 
-    score is in 0..1, higher for better texts; predicted is 1 from model.at on. Null texts count as empty.
+    _score is in 0..1, higher for better texts; _predicted is 1 from model.at on, which ties with it included. Null texts
+    count as empty; long ones are read whole; an empty table gives no rows. Other columns are ignored.
     """
     names = keep or [id_col]
 
