@@ -72,23 +72,22 @@ def linked(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
 
 
 class Sets:
-    """Sets as codes of a common dictionary: intersections with one of them are lookups in a mask."""
+    """Sets as codes of a common dictionary, with the list of sets that have each code: a set meets only those that it
+    shares something with."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets], np.int64)
         self.stop = np.cumsum(self.size)
-        values, self.code = np.unique(np.concatenate(sets), return_inverse=True)
-        self.mask = np.zeros(len(values), bool)
-
-    def of(self, i: int) -> np.ndarray:
-        return self.code[self.stop[i] - self.size[i] : self.stop[i]]
+        self.code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.owner = np.repeat(np.arange(len(sets)), self.size)[np.argsort(self.code, kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.code))])
 
     def against(self, p: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sizes of the intersections and of the unions of set p with each of `rows`."""
-        self.mask[self.of(p)] = True
-        hits = self.mask[np.concatenate([self.of(i) for i in rows])].astype(np.int64)
-        self.mask[self.of(p)] = False
-        both = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(self.size[rows])[:-1]]))
+        own = self.code[self.stop[p] - self.size[p] : self.stop[p]]
+        n = self.start[own + 1] - self.start[own]
+        at = np.repeat(self.start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.size))[rows]
         return both, self.size[p] + self.size[rows] - both
 
 
