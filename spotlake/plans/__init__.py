@@ -1,3 +1,3 @@
-from . import catalogue, measures
+"""Queries of the package; importing it registers them in catalogue."""
 
-__all__ = ["catalogue", "measures"]
+from . import catalogue, measures, movies  # noqa: F401
