@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 
 def blur(image: DataFrame, sigma: float, ny: int, nx: int, reach: float = 4.0) -> DataFrame:
     """Gaussian blur, one axis after the other; the kernel sums to 1 and what falls outside ny x nx is lost."""
@@ -73,6 +76,124 @@ def threshold_mean(image: DataFrame, pixels: int) -> DataFrame:
     return image.agg((F.sum("value") / pixels).alias("threshold"))
 
 
+def _counted(image: DataFrame, pixels: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, centres) of the grey histogram, of which the driver sees `bins` rows."""
+    rows = grey_histogram(image, pixels, bins).collect()
+    counts, centers = np.zeros(bins), np.full(bins, np.nan)
+    for r in rows:
+        counts[r["bin"]], centers[r["bin"]] = r["n"], r["center"]
+    there = np.flatnonzero(~np.isnan(centers))
+    if len(there) > 1:
+        centers = np.interp(np.arange(bins), there, centers[there])
+        width = (centers[there[-1]] - centers[there[0]]) / (there[-1] - there[0])
+        centers = centers[there[0]] + (np.arange(bins) - there[0]) * width
+    return counts, centers
+
+
+def threshold_isodata(image: DataFrame, pixels: int, bins: int = 256) -> float | None:
+    """The first bin centre that lies half way between the means below and above it, to within a bin."""
+    counts, centers = _counted(image, pixels, bins)
+    below, mass = np.cumsum(counts)[:-1], np.cumsum(counts * np.nan_to_num(centers))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = (mass[:-1] / below + (mass[-1] - mass[:-1]) / (counts.sum() - below)) / 2 - centers[:-1]
+        hit = np.flatnonzero((gap >= 0) & (gap < centers[1] - centers[0]))
+    return float(centers[hit[0]]) if len(hit) else None
+
+
+def threshold_minimum(image: DataFrame, pixels: int, bins: int = 256, rounds: int = 10_000) -> float | None:
+    """The lowest bin between two peaks of the histogram, which is smoothed over three bins until two are left; null if that fails."""
+    counts, centers = _counted(image, pixels, bins)
+
+    def peaks(h: np.ndarray) -> list[int]:
+        found, rising = [], True
+        for i, step in enumerate(np.sign(np.diff(h))):
+            if rising and step < 0:
+                rising = False
+                found.append(i)
+            elif step > 0:
+                rising = True
+        return found
+
+    for _ in range(rounds):
+        counts = np.convolve(np.pad(counts, 1, "edge"), np.ones(3) / 3, "valid").astype(np.float32).astype(float)
+        tops = peaks(counts)
+        if len(tops) < 3:
+            break
+    return float(centers[tops[0] + counts[tops[0] : tops[1] + 1].argmin()]) if len(tops) == 2 else None
+
+
+def threshold_triangle(image: DataFrame, pixels: int, bins: int = 256) -> float | None:
+    """The bin farthest below the line from the histogram's peak to the end of its longer side."""
+    counts, centers = _counted(image, pixels, bins)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        return float(centers[used[0]]) if len(used) else None
+    peak, right = int(counts.argmax()), int(counts.argmax()) - used[0] < used[-1] - int(counts.argmax())
+    side = np.arange(used[-1], peak, -1) if right else np.arange(used[0], peak)
+    far = counts[peak] * np.arange(len(side)) - len(side) * counts[side]
+    return float(centers[side[far.argmax()]])
+
+
+def threshold_yen(image: DataFrame, pixels: int, bins: int = 256) -> float | None:
+    """The bin that maximises the correlation criterion of the two classes' entropies."""
+    counts, centers = _counted(image, pixels, bins)
+    share = counts / counts.sum()
+    low, low2, high2 = np.cumsum(share), np.cumsum(share**2), np.cumsum(share[::-1] ** 2)[::-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.log((low[:-1] * (1 - low[:-1])) ** 2 / (low2[:-1] * high2[1:]))
+    return float(centers[:-1][np.nanargmax(np.where(np.isfinite(score), score, -np.inf))])
+
+
+def threshold_li(image: DataFrame, pixels: int) -> float | None:
+    """Li's least cross-entropy threshold: the logarithmic mean of the two classes' means, repeated to half the least
+    difference of values. Each round sums the table of distinct values once."""
+    values = checkpointed(image.groupBy(F.col("value").cast("double").alias("v")).agg(F.count("*").alias("n")))
+    seen = values.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s")).first()
+    rest = pixels - (seen["n"] or 0)
+    if rest:
+        values = values.unionAll(values.sparkSession.range(1).select(F.lit(0.0).alias("v"), F.lit(rest).alias("n"))).groupBy("v").agg(F.sum("n").alias("n"))
+    # neighbours within ranges of values and across their ends, without sorting all of them in one task
+    ranged = values.repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id())
+    ranged = checkpointed(ranged)
+    inner = ranged.withColumn("gap", F.col("v") - F.lag("v").over(Window.partitionBy("p").orderBy("v"))).agg(F.min("gap")).first()[0]
+    ends = sorted(ranged.groupBy("p").agg(F.min("v").alias("a"), F.max("v").alias("b")).select("a", "b").collect())
+    gaps = [g for g in [inner, *(y[0] - x[1] for x, y in zip(ends, ends[1:], strict=False))] if g]
+    if not gaps:
+        return float(ends[0][0]) if ends else None
+    tolerance, now, after = min(gaps) / 2, -math.inf, (seen["s"] or 0.0) / pixels
+    while abs(after - now) > tolerance:
+        now = after
+        part = lambda w: F.sum(F.when(w, F.col("n") * F.col("v"))) / F.sum(F.when(w, F.col("n")))
+        fore, back = values.agg(part(F.col("v") > now), part(F.col("v") <= now)).first()
+        if not back or not fore:
+            break
+        after = (back - fore) / (math.log(back) - math.log(fore))
+    return after
+
+
+def local_mask(image: DataFrame, ny: int, nx: int, method: str = "mean") -> DataFrame:
+    """Pixels above the mean, Gaussian mean (deviation 1/3) or median of the 3 x 3 pixels around them, edges mirrored.
+
+    A pixel that is 0 is never above it where no value is negative, so only pixels with a row are tested.
+    """
+    tap = {0: 1.0, 1: math.exp(-4.5), -1: math.exp(-4.5)}
+    total = sum(tap.values())
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(tap[i] * tap[j] / total**2).alias("w")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    mirror = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
+    asked = image.select("iy", "ix", F.col("value").alias("own"), F.explode(steps).alias("s"))
+    asked = asked.select(F.col("iy").alias("y"), F.col("ix").alias("x"), "own", "s.w", mirror(F.col("iy") + F.col("s.i"), ny).alias("iy"), mirror(F.col("ix") + F.col("s.j"), nx).alias("ix"))
+    near = asked.join(image.select("iy", "ix", F.col("value").cast("double").alias("v")), ["iy", "ix"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    level = {"mean": F.sum("v") / 9, "gaussian": F.sum(F.col("v") * F.col("w")), "median": F.sort_array(F.collect_list("v"))[4]}[method]
+    return near.groupBy(F.col("y").alias("iy"), F.col("x").alias("ix")).agg(F.first("own").alias("own"), level.alias("level")).where("own > level").select("iy", "ix")
+
+
+def tukey_window(image: DataFrame, n: int) -> DataFrame:
+    """A square image of n x n pixels, faded out over an eighth of its width at each edge."""
+    place = lambda c: (c - n / 2) / n
+    fade = lambda u: F.when(F.abs(u) < 6 / 16, F.lit(1.0)).otherwise(0.5 - 0.5 * F.cos(F.lit(math.pi * 8) * u))
+    return image.select("iy", "ix", (F.col("value") * fade(place(F.col("ix"))) * fade(place(n - 1 - F.col("iy")))).alias("value"))
+
+
 def shifted_overlap(first: DataFrame, second: DataFrame, reach: int) -> DataFrame:
     """(sy, sx, n): for each shift of up to `reach` cells, the sum over cells of the smaller of two counts."""
     steps = F.sequence(F.lit(-reach), F.lit(reach))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 
 def _cells(df: DataFrame, r: float, x: str, y: str, spread: bool) -> DataFrame:
     cx, cy = F.floor(F.col(x) / r).cast("long"), F.floor(F.col(y) / r).cast("long")
@@ -58,15 +60,43 @@ def next_frame_distances(locs: DataFrame, bin_size: float, d_max: float) -> Data
 
 
 def nearest_neighbours(left: DataFrame, right: DataFrame, k: int, r: float, same: bool = False) -> DataFrame:
-    """(loc_id, rank, neighbour, d): the k nearest right rows closer than r; ties to the smaller id.
+    """(loc_id, rank, neighbour, d): the k nearest right rows of each left row; ties to the smaller id. Rows have fewer ranks
+    only if the right table has fewer rows.
 
-    same: both are one table, and a row is not its own neighbour. Rows with fewer neighbours within r have fewer ranks.
+    r is the radius of the first search: rows with fewer than k right rows within it search again in twice the
+    radius, the others being done. same: both are one table, and a row is not its own neighbour.
     """
-    pairs = spatial_join(left.select("loc_id", "x", "y"), right.select("loc_id", "x", "y"), r)
-    pairs = pairs.where("l.loc_id <> r.loc_id") if same else pairs
-    pairs = pairs.select(F.col("l.loc_id").alias("loc_id"), F.col("r.loc_id").alias("neighbour"), "d")
+    asked, there = left.select("loc_id", "x", "y"), right.select("loc_id", "x", "y")
+    want, found = min(k, there.count() - int(same)), None
     rank = F.row_number().over(Window.partitionBy("loc_id").orderBy("d", "neighbour"))
-    return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("loc_id", "rank", "neighbour", "d")
+    while True:
+        pairs = spatial_join(asked, there, r)
+        pairs = pairs.where("l.loc_id <> r.loc_id") if same else pairs
+        near = pairs.select(F.col("l.loc_id").alias("loc_id"), F.col("r.loc_id").alias("neighbour"), "d").withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+        near = checkpointed(near)
+        full = near.where(F.col("rank") == want).select("loc_id")
+        done = near.join(full, "loc_id", "left_semi").select("loc_id", "rank", "neighbour", "d")
+        found = done if found is None else found.unionAll(done)
+        asked = checkpointed(asked.join(full, "loc_id", "left_anti"))
+        if want <= 0 or asked.isEmpty():
+            return found
+        r *= 2
+
+
+def nearest_by_group(clusters: DataFrame, r: float) -> DataFrame:
+    """(group, cluster, d): the distance to the nearest other cluster of the same group, for groups of several."""
+    rows = clusters.select("group", "cluster", "x", "y")
+    several = rows.groupBy("group").agg((F.min("cluster") != F.max("cluster")).alias("several")).where("several").select("group")
+    there = checkpointed(rows.join(several, "group", "left_semi"))
+    asked, found = there, None
+    while True:
+        pairs = spatial_join(asked, there, r, on=["group"]).where("l.cluster <> r.cluster")
+        best = checkpointed(pairs.groupBy(F.col("l.group").alias("group"), F.col("l.cluster").alias("cluster")).agg(F.min("d").alias("d")))
+        found = best if found is None else found.unionAll(best)
+        asked = checkpointed(asked.join(best, ["group", "cluster"], "left_anti"))
+        if asked.isEmpty():
+            return found
+        r *= 2
 
 
 def picked_circles(locs: DataFrame, picks: DataFrame, r: float) -> DataFrame:

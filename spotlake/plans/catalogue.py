@@ -86,10 +86,10 @@ def next_frame_distances(spark, d):
     return S.next_frame_distances(A.locs(spark, d), 2.0, 60.0)
 
 
-@query("SELECT loc_id, rank, neighbour, d FROM (SELECT a.loc_id, b.loc_id AS neighbour, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS d, row_number() OVER (PARTITION BY a.loc_id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.loc_id) AS rank FROM locs a JOIN locs b ON a.loc_id <> b.loc_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 25) WHERE rank <= 3")
+@query("SELECT loc_id, CAST(rank AS BIGINT) AS rank, u.neighbour, round(u.d, 6) AS d FROM (SELECT loc_id, unnest(best) AS u, generate_subscripts(best, 1) AS rank FROM (SELECT a.loc_id, min({'d': sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 'neighbour': b.loc_id}, 3) AS best FROM locs a JOIN locs b ON a.loc_id <> b.loc_id GROUP BY a.loc_id))")
 def nearest_neighbours(spark, d):
     rows = A.locs(spark, d)
-    return tidy(S.nearest_neighbours(rows, rows, 3, 5.0, same=True))
+    return tidy(S.nearest_neighbours(rows, rows, 3, 1.0, same=True))
 
 
 @query("SELECT pick_id, loc_id FROM locs l JOIN picks p ON (l.x - p.x) * (l.x - p.x) + (l.y - p.y) * (l.y - p.y) < 100")

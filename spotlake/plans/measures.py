@@ -52,7 +52,7 @@ def combine_clusters(spark, d):
     return tidy(clusters(spark, d))
 
 
-@query(CLUSTERS + ' SELECT a."group", a.cluster, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS d FROM clusters a LEFT JOIN clusters b ON a."group" = b."group" AND a.cluster <> b.cluster AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 1600 GROUP BY ALL')
+@query(CLUSTERS + ' SELECT a."group", a.cluster, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS d FROM clusters a LEFT JOIN clusters b ON a."group" = b."group" AND a.cluster <> b.cluster GROUP BY ALL')
 def min_distance(spark, d):
     return tidy(G.min_distance(clusters(spark, d), 40.0))
 
