@@ -1,3 +1,3 @@
 """Queries of the package; importing it registers them in catalogue."""
 
-from . import catalogue, measures, movies, regions  # noqa: F401
+from . import catalogue, groups, measures, movies, regions  # noqa: F401
