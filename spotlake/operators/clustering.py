@@ -102,14 +102,14 @@ def subclustering(molecules: DataFrame, near: float, far: float) -> DataFrame:
 
 
 def hull_areas(rows: DataFrame, key: str) -> DataFrame:
-    """(key, area, corners): area of the convex hull of each key's rows. Each key first keeps the extreme rows of 64
+    """(key, area, corners): area of the convex hull of each key's rows. Each key first keeps the extreme rows of 16
     directions, and those beyond the lines between neighbouring extremes, so that a key's task holds few of its rows."""
-    ways = [(math.cos(2 * math.pi * i / 64), math.sin(2 * math.pi * i / 64)) for i in range(64)]
+    ways = [(math.cos(math.pi * i / 8), math.sin(math.pi * i / 8)) for i in range(16)]
     top = lambda c, s: F.max(F.struct((F.col("x") * c + F.col("y") * s).alias("h"), "x", "y"))
     frame = rows.where("x is not null and y is not null").groupBy(key).agg(F.array(*[top(c, s) for c, s in ways]).alias("_e"))
-    edge = lambda i: (F.col("_e")[(i + 1) % 64]["x"] - F.col("_e")[i]["x"]) * (F.col("y") - F.col("_e")[i]["y"]) - (F.col("_e")[(i + 1) % 64]["y"] - F.col("_e")[i]["y"]) * (F.col("x") - F.col("_e")[i]["x"])
+    edge = lambda i: (F.col("_e")[(i + 1) % 16]["x"] - F.col("_e")[i]["x"]) * (F.col("y") - F.col("_e")[i]["y"]) - (F.col("_e")[(i + 1) % 16]["y"] - F.col("_e")[i]["y"]) * (F.col("x") - F.col("_e")[i]["x"])
     outside = F.lit(False)
-    for i in range(64):
+    for i in range(16):
         outside |= edge(i) < 0
     corners = frame.select(key, F.explode("_e").alias("e")).select(key, "e.x", "e.y").unionAll(rows.select(key, "x", "y").join(frame, key).where(outside).select(key, "x", "y")).distinct()
 
