@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import hashlib
 import uuid
@@ -24,13 +25,16 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, ddl.split(","))])
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One gzip member holding a WARC record. A revisit has no block; its digest and length are those of the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One gzip member holding a WARC record. A revisit has no block; its digest and length are those of the payload. A
+    record without a page id is named at random."""
     digest = hashlib.sha256(payload).hexdigest()
     block = payload if refers_to is None else b""
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:page:{page_id}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:page:{page_id}>",
+        "WARC-Date": date,
+        "Content-Type": "text/html",
         "WARC-Target-URI": "".join(" " if ord(c) < 32 else c for c in url or ""),
         "WARC-Payload-Digest": f"sha256:{digest}",
         "X-Payload-Length": len(payload),
@@ -43,6 +47,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return gzip.compress(text + CRLF * 2 + block + CRLF * 2, 6, mtime=0)
 
 
+def info_record(date: str) -> bytes:
+    """The record that opens each archive."""
+    block = b"format: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}"
+    return gzip.compress(head.encode() + CRLF * 2 + block + CRLF * 2, 6, mtime=0)
+
+
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields and block of a record."""
     head, _, rest = gzip.decompress(member).partition(CRLF * 2)
@@ -50,14 +61,22 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> DataFrame:
+def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, salts: int = 64) -> DataFrame:
     """(page_id, url, payload, refers_to): of equal payloads of at least `least` bytes all but the smallest page_id
-    refer to that page. Only digests are grouped, with partial aggregates, so a frequent payload is not one task."""
+    refer to that page. Only digests are grouped, with partial aggregates; the table of digests that repeat is broadcast
+    while it is small, and else joined by digest and one of `salts` numbers, so that a frequent payload is not one task. Rows
+    without such a digest are spread by their own hash."""
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("_digest", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
     seen = rows.where("_digest is not null").groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-    rows = rows.join(seen.where("_n > 1 and _first is not null").drop("_n"), "_digest", "left")
+    seen = materialize(seen.where("_n > 1 and _first is not null").select("_digest", "_first"), "repeated-digests")
+    if seen.limit(200_001).count() <= 200_000:
+        rows = rows.join(F.broadcast(seen), "_digest", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")
+        rows = rows.withColumn("_salt", salt).withColumn("_digest", F.coalesce("_digest", F.xxhash64("page_id", "url").cast("string")))
+        rows = rows.join(seen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["_digest", "_salt"], "left")
     return rows.select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
 
 
@@ -67,10 +86,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     Each task writes files of its own, named at random and closed at `roll` bytes; the index holds offset, length, url
     and digest of each record. It is committed by Spark, so files of lost or repeated tasks are never referred to.
     A null html is an empty payload, a null url an empty one; a page with a null id is always a response.
-    Pages that repeat an id with the same payload: each is a response, as it would refer to itself.
+    Pages that repeat an id with the same payload: each is a response, as it would refer to itself. Each archive opens
+    with a warcinfo record. A payload of any length is one record, held whole by its task; an empty table gives no rows.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    schema = _arrow(INDEX)
+    schema, date = _arrow(INDEX), datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
@@ -83,7 +103,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
                     if out is None:
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = store.open_output_stream(f"{top}/{name}", compression=None)
-                    data = record(page_id, url, payload, refers_to)
+                        at = out.write(info_record(date))
+                    data = record(page_id, url, payload, refers_to, date)
                     out.write(data)
                     kind = "response" if refers_to is None else "revisit"
                     rows.append((page_id, url, hashlib.sha256(payload).hexdigest(), kind, refers_to, name, at, len(data)))
