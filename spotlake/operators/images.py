@@ -174,7 +174,8 @@ def threshold_li(image: DataFrame, pixels: int) -> float | None:
 def local_mask(image: DataFrame, ny: int, nx: int, method: str = "mean") -> DataFrame:
     """Pixels above the mean, Gaussian mean (deviation 1/3) or median of the 3 x 3 pixels around them, edges mirrored.
 
-    A pixel that is 0 is never above it where no value is negative, so only pixels with a row are tested.
+    A pixel that is 0 is never above it where no value is negative, so only pixels with a row are tested. What exceeds the
+    level by less than a billionth of it is equal, whatever the order of the sum.
     """
     tap = {0: 1.0, 1: math.exp(-4.5), -1: math.exp(-4.5)}
     total = sum(tap.values())
@@ -184,7 +185,7 @@ def local_mask(image: DataFrame, ny: int, nx: int, method: str = "mean") -> Data
     asked = asked.select(F.col("iy").alias("y"), F.col("ix").alias("x"), "own", "s.w", mirror(F.col("iy") + F.col("s.i"), ny).alias("iy"), mirror(F.col("ix") + F.col("s.j"), nx).alias("ix"))
     near = asked.join(image.select("iy", "ix", F.col("value").cast("double").alias("v")), ["iy", "ix"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     level = {"mean": F.sum("v") / 9, "gaussian": F.sum(F.col("v") * F.col("w")), "median": F.sort_array(F.collect_list("v"))[4]}[method]
-    return near.groupBy(F.col("y").alias("iy"), F.col("x").alias("ix")).agg(F.first("own").alias("own"), level.alias("level")).where("own > level").select("iy", "ix")
+    return near.groupBy(F.col("y").alias("iy"), F.col("x").alias("ix")).agg(F.first("own").alias("own"), level.alias("level")).where("own - level > 1e-9 * abs(level)").select("iy", "ix")
 
 
 def tukey_window(image: DataFrame, n: int) -> DataFrame:

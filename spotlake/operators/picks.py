@@ -54,7 +54,8 @@ def _inside(shape: str, size: float | None) -> Column:
 
 def picked_locs(locs: DataFrame, picks: DataFrame, shape: str, size: float | None = None, cell: float | None = None) -> DataFrame:
     """Rows inside each pick, with pick_id; a row in several picks comes several times. Circles: size is the diameter; squares:
-    the side; rectangles: the width, and rows also get x_pick_rot along and y_pick_rot across the axis. Edges are outside.
+    the side; rectangles: the width, and rows also get x_pick_rot along and y_pick_rot across the axis. Edges are outside; of a polygon, by the even-odd
+    rule, those to the left and at the least y are inside.
 
     cell: side of the grid's cells; by default the size, and 8 for polygons. Picks without an area hold nothing.
     """

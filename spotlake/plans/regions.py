@@ -45,7 +45,8 @@ def pick_profile(spark, d):
     return P.profile(P.picked_locs(A.locs(spark, d), bars(spark, d), "rectangle", 8.0), 10, 50.0)
 
 
-@query("SELECT pick_id, loc_id FROM locs l, picks p WHERE (l.y < p.y AND abs(l.x - p.x) < 12 + (l.y - p.y) * 12 / 9::DOUBLE) OR (l.y >= p.y AND abs(l.x - p.x) < 12 - (l.y - p.y) * 12 / 15::DOUBLE)")
+# the crossings of a kite's four edges: left of the right one, and not left of the left one
+@query("SELECT pick_id, loc_id FROM locs l, picks p WHERE (l.y >= p.y - 9 AND l.y < p.y AND l.x < p.x + 12 * ((l.y - (p.y - 9)) / 9) AND NOT l.x < (p.x - 12) + 12 * ((l.y - p.y) / -9)) OR (l.y >= p.y AND l.y < p.y + 15 AND l.x < (p.x + 12) + -12 * ((l.y - p.y) / 15) AND NOT l.x < p.x + -12 * ((l.y - (p.y + 15)) / -15))")
 def picked_polygons(spark, d):
     return P.picked_locs(A.locs(spark, d), kites(spark, d), "polygon").select("pick_id", "loc_id")
 
@@ -96,7 +97,7 @@ def _level(spark, value):
 
 
 CLASSES = GREY + ", every AS (SELECT b.bin, coalesce(n, 0) AS n, (b.bin + 0.5::DOUBLE) * (SELECT m FROM top) / 256 AS center FROM range(256) b(bin) LEFT JOIN grey g ON g.bin = b.bin)"
-LOCAL = IMAGE + ", steps AS (SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE i WHEN 0 THEN 1 ELSE exp(-4.5::DOUBLE) END * CASE j WHEN 0 THEN 1 ELSE exp(-4.5::DOUBLE) END / pow(1 + 2 * exp(-4.5::DOUBLE), 2) AS w FROM range(-1, 2) a(i), range(-1, 2) b(j)), near AS (SELECT p.iy, p.ix, p.value AS own, w, coalesce(q.value, 0) AS v FROM image p CROSS JOIN steps LEFT JOIN image q ON q.iy = least(greatest(p.iy + i, 0), 127) AND q.ix = least(greatest(p.ix + j, 0), 511)) SELECT iy, ix FROM near GROUP BY iy, ix, own HAVING own > "
+LOCAL = IMAGE + ", steps AS (SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE i WHEN 0 THEN 1 ELSE exp(-4.5::DOUBLE) END * CASE j WHEN 0 THEN 1 ELSE exp(-4.5::DOUBLE) END / pow(1 + 2 * exp(-4.5::DOUBLE), 2) AS w FROM range(-1, 2) a(i), range(-1, 2) b(j)), near AS (SELECT p.iy, p.ix, p.value AS own, w, coalesce(q.value, 0) AS v FROM image p CROSS JOIN steps LEFT JOIN image q ON q.iy = least(greatest(p.iy + i, 0), 127) AND q.ix = least(greatest(p.ix + j, 0), 511)) SELECT iy, ix FROM near GROUP BY iy, ix, own HAVING own > (1 + 1e-9::DOUBLE) * "
 
 
 @query(CLASSES + ", s AS (SELECT bin, center, sum(n) OVER b AS n1, sum(n * center) OVER b AS m1, sum(n) OVER () AS n0, sum(n * center) OVER () AS m0 FROM every WINDOW b AS (ORDER BY bin ROWS UNBOUNDED PRECEDING)) SELECT round(arg_min(center, bin), 6) AS threshold FROM s WHERE bin < 255 AND n1 > 0 AND n0 > n1 AND (m1 / n1 + (m0 - m1) / (n0 - n1)) / 2 - center >= 0 AND (m1 / n1 + (m0 - m1) / (n0 - n1)) / 2 - center < (SELECT m FROM top) / 256")
@@ -124,7 +125,7 @@ def threshold_minimum(spark, d):
     return tidy(_level(spark, I.threshold_minimum(image(spark, d), WIDE * HIGH)))
 
 
-@query(LOCAL + "sum(v) / 9")
+@query(LOCAL + "(sum(v) / 9)")
 def mask_above_local_mean(spark, d):
     return I.local_mask(image(spark, d), HIGH, WIDE, "mean")
 
