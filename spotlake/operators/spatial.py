@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import distance_counts, nearest_in_blocks, neighbour_counts
 from .shared import checkpointed
 
 
@@ -33,29 +34,15 @@ def spatial_join(left: DataFrame, right: DataFrame, r: float, on: list[str] | No
     return a.join(b, ["_cx", "_cy", *[f"_on_{c}" for c in on]]).where(near).select("l", "r", F.sqrt(d2).alias("d"))
 
 
-def _half_pairs(locs: DataFrame, r: float) -> DataFrame:
-    """(i, j, d2): each pair of rows less than r apart once, i and j being their loc_ids in no order. A row goes to its own cell
-    and to half of those around it, so that pairs of one cell are ordered by loc_id and pairs of two cells meet in one of them."""
-    x, y = F.col("x"), F.col("y")
-    cx, cy = F.floor(x / r), F.floor(y / r)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i == 0 and j == 0).alias("own")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
-    a = locs.select(F.col("loc_id").alias("i"), x.alias("xa"), y.alias("ya"), cx.alias("cx"), cy.alias("cy"))
-    b = locs.select(F.col("loc_id").alias("j"), x.alias("xb"), y.alias("yb"), cx.alias("_x"), cy.alias("_y"), F.explode(steps).alias("s"))
-    b = b.select("j", "xb", "yb", (F.col("_x") + F.col("s.i")).alias("cx"), (F.col("_y") + F.col("s.j")).alias("cy"), F.col("s.own").alias("own"))
-    dx, dy = F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")
-    d2 = dx * dx + dy * dy
-    return a.join(b, ["cx", "cy"]).where((d2 < r * r) & (~F.col("own") | (F.col("i") < F.col("j")))).select("i", "j", d2.alias("d2"))
-
-
 def local_density(locs: DataFrame, r: float) -> DataFrame:
-    """(loc_id, density): rows closer than r, itself included."""
-    near = _half_pairs(locs, r).select(F.explode(F.array("i", "j")).alias("loc_id")).groupBy("loc_id").agg(F.count("*").alias("n"))
+    """(loc_id, density): rows closer than r, itself included. loc_id is an integer and unique."""
+    near = neighbour_counts(locs, r)
     return locs.select("loc_id").join(near, "loc_id", "left").select("loc_id", (F.coalesce("n", F.lit(0)) + 1).alias("density"))
 
 
 def distance_histogram(locs: DataFrame, bin_size: float, r_max: float) -> DataFrame:
     """(bin, n): distances of all pairs of rows closer than r_max."""
-    return _half_pairs(locs, r_max).groupBy(F.floor(F.sqrt("d2") / bin_size).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return distance_counts(locs, bin_size, r_max)
 
 
 def pair_correlation(locs: DataFrame, bin_size: float, r_max: float) -> DataFrame:
@@ -76,16 +63,14 @@ def nearest_neighbours(left: DataFrame, right: DataFrame, k: int, r: float, same
     """(loc_id, rank, neighbour, d): the k nearest right rows of each left row; ties to the smaller id. Rows have fewer ranks
     only if the right table has fewer rows.
 
-    r is the radius of the first search: rows with fewer than k right rows within it search again in twice the
+    r is the radius of the first search: rows with fewer than k right rows within it search again in four times the
     radius, the others being done. same: both are one table, and a row is not its own neighbour.
     """
     asked, there = left.select("loc_id", "x", "y"), right.select("loc_id", "x", "y")
     want, found = min(k, there.count() - int(same)), None
     rank = F.row_number().over(Window.partitionBy("loc_id").orderBy("d", "neighbour"))
     while True:
-        pairs = spatial_join(asked, there, r)
-        pairs = pairs.where("l.loc_id <> r.loc_id") if same else pairs
-        near = pairs.select(F.col("l.loc_id").alias("loc_id"), F.col("r.loc_id").alias("neighbour"), "d").withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+        near = nearest_in_blocks(asked, there, k, r, same).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
         near = checkpointed(near)
         full = near.where(F.col("rank") == want).select("loc_id")
         done = near.join(full, "loc_id", "left_semi").select("loc_id", "rank", "neighbour", "d")
@@ -93,7 +78,7 @@ def nearest_neighbours(left: DataFrame, right: DataFrame, k: int, r: float, same
         asked = checkpointed(asked.join(full, "loc_id", "left_anti"))
         if want <= 0 or asked.isEmpty():
             return found
-        r *= 2
+        r *= 4
 
 
 def nearest_by_group(clusters: DataFrame, r: float) -> DataFrame:
