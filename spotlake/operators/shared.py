@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in spark.checkpoint.dir, or in a folder of our own where that is unset."""
+    """Cuts the lineage in spark.checkpoint.dir. Where that is unset, in a temporary folder in local mode; on a cluster, whose
+    executors do not share one, that is an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
 
 
