@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, marked for broadcasting if it has at most `rows` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def running_sums(df: DataFrame, order: str, columns: list[str], parts: int = 0) -> DataFrame:
+    """df with each of columns replaced by its sum over all rows up to this one in `order`, whose values are distinct, and with
+    `total_<column>`. Ranges of the order are summed first; each adds what lies before it, so that no task holds all rows."""
+    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = checkpointed(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    offsets = [F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in columns]
+    totals = [F.sum(f"_{c}").over(Window.partitionBy()).alias(f"total_{c}") for c in columns]
+    within = Window.partitionBy("_part").orderBy(order)
+    out = dealt.join(F.broadcast(sums.select("_part", *offsets, *totals)), "_part")
+    return out.withColumns({c: F.sum(c).over(within) + F.col(f"_before_{c}") for c in columns}).drop("_part", *[f"_before_{c}" for c in columns])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import running_sums
+
 NON_NEGATIVE = ("x", "y", "lpx", "lpy", "lpz", "photons", "ellipticity", "sx", "sy")
 
 
@@ -46,17 +48,20 @@ def merge_locs(tables: list[DataFrame], increment_frames: bool = True, increment
 
 
 def apply_drift(locs: DataFrame, drift: DataFrame, frames: int, broadcast_frames: int = 1_000_000) -> DataFrame:
-    """Subtracts the drift (frame, dx, dy) of each row's frame; the table of drift is broadcast while frames are few."""
+    """Subtracts the drift (frame, dx, dy) of each row's frame; a frame without drift is an error when its rows are read. The
+    table has one row a frame and is broadcast while the movie has at most broadcast_frames."""
     side = F.broadcast(drift) if frames <= broadcast_frames else drift
-    return locs.join(side, "frame").withColumn("x", F.col("x") - F.col("dx")).withColumn("y", F.col("y") - F.col("dy")).drop("dx", "dy")
+    shift = lambda c: F.coalesce(c, F.raise_error(F.format_string("frame %d has no drift", "frame")).cast("double"))
+    return locs.join(side, "frame", "left").withColumns({"x": F.col("x") - shift("dx"), "y": F.col("y") - shift("dy")}).drop("dx", "dy")
 
 
 def fiducial_drift(picked: DataFrame) -> DataFrame:
-    """(frame, dx, dy): mean displacement of fiducials in each frame, weighted by the inverse of each one's variance."""
-    of = Window.partitionBy("pick_id")
-    rows = picked.select("pick_id", "frame", (F.col("x") - F.avg("x").over(of)).alias("x"), (F.col("y") - F.avg("y").over(of)).alias("y"))
-    rows = rows.withColumn("wx", F.try_divide(F.lit(1.0), F.var_pop("x").over(of))).withColumn("wy", F.try_divide(F.lit(1.0), F.var_pop("y").over(of))).where("wx is not null and wy is not null")
-    return rows.groupBy("frame").agg((F.sum(F.col("x") * F.col("wx")) / F.sum("wx")).alias("dx"), (F.sum(F.col("y") * F.col("wy")) / F.sum("wy")).alias("dy"))
+    """(frame, dx, dy): mean displacement of fiducials in each frame, weighted by the inverse of each one's variance. Fiducials
+    that do not vary have no weight."""
+    known = picked.groupBy("pick_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy")).where("vx > 0 and vy > 0")
+    rows = picked.select("pick_id", "frame", "x", "y").join(known, "pick_id")
+    mean = lambda c: F.sum((F.col(c) - F.col(f"m{c}")) / F.col(f"v{c}")) / F.sum(1 / F.col(f"v{c}"))
+    return rows.groupBy("frame").agg(mean("x").alias("dx"), mean("y").alias("dy"))
 
 
 def channel_shifts(picked: DataFrame) -> DataFrame:
@@ -68,8 +73,9 @@ def channel_shifts(picked: DataFrame) -> DataFrame:
 
 
 def center_groups(locs: DataFrame) -> DataFrame:
-    of = Window.partitionBy("group")
-    return locs.withColumn("x", F.col("x") - F.avg("x").over(of)).withColumn("y", F.col("y") - F.avg("y").over(of))
+    """Each group about its own mean; rows of a null group are one group."""
+    means = locs.groupBy(F.col("group").alias("_group")).agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"))
+    return locs.join(means, F.col("group").eqNullSafe(F.col("_group"))).withColumns({c: F.col(c) - F.col(f"_{c}") for c in "xy"}).drop("_group", "_x", "_y")
 
 
 def segment(locs: DataFrame, frames: int, segments: int) -> DataFrame:
@@ -123,9 +129,8 @@ def locs_per_frame(locs: DataFrame, window: int) -> DataFrame:
 
 
 def ks_statistic(rows: DataFrame, label: str, value: str, a, b) -> DataFrame:
-    """(ks,): largest distance between the empirical distributions of two labels. Values are counted first; the running
-    sums go over distinct values."""
-    counts = rows.where(F.col(label).isin(a, b)).groupBy(value).agg(F.sum((F.col(label) == a).cast("long")).alias("na"), F.sum((F.col(label) == b).cast("long")).alias("nb"))
-    upto, whole = Window.orderBy(value), Window.partitionBy()
-    d = F.abs(F.sum("na").over(upto) / F.sum("na").over(whole) - F.sum("nb").over(upto) / F.sum("nb").over(whole))
-    return counts.select(d.alias("d")).agg(F.max("d").alias("ks"))
+    """(ks,): largest distance between the empirical distributions of two labels; null if one has no rows. Values are counted
+    first; their running sums are formed by ranges."""
+    counts = rows.where(F.col(label).isin(a, b)).groupBy(F.col(value).alias("value")).agg(F.sum((F.col(label) == a).cast("long")).alias("na"), F.sum((F.col(label) == b).cast("long")).alias("nb"))
+    share = lambda c: F.try_divide(F.col(c), F.col(f"total_{c}"))
+    return running_sums(counts, "value", ["na", "nb"]).agg(F.max(F.abs(share("na") - share("nb"))).alias("ks"))

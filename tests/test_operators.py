@@ -51,3 +51,41 @@ def test_merge_keeps_boundary_frame_overlap(spark):
     t = spark.createDataFrame([(0, 1), (4, 2)], "frame long, group long")
     got = sorted((r.frame, r.group) for r in tables.merge_locs([t, t]).collect())
     assert got == [(0, 1), (4, 2), (4, 3), (8, 4)]
+
+
+def test_running_sums_by_ranges(spark):
+    from spotlake.operators import shared
+
+    values = [(float(v), v % 5, v % 3) for v in range(200)]
+    df = spark.createDataFrame(values, "v double, a long, b long").repartition(3)
+    got = sorted(map(tuple, shared.running_sums(df, "v", ["a", "b"], 7).select("v", "a", "b", "total_a").collect()))
+    assert got == [(v, sum(x[1] for x in values[: i + 1]), sum(x[2] for x in values[: i + 1]), sum(x[1] for x in values)) for i, (v, _, _) in enumerate(values)]
+    assert shared.running_sums(df.where("false"), "v", ["a"], 7).count() == 0
+
+
+def test_frames_without_drift_are_an_error(spark):
+    locs = spark.createDataFrame([(1, 0, 1.0, 1.0), (2, 9, 1.0, 1.0)], "loc_id long, frame long, x double, y double")
+    drift = spark.createDataFrame([(0, 0.5, 0.25)], "frame long, dx double, dy double")
+    first = tables.apply_drift(locs.where("frame = 0"), drift, 10).first()
+    assert (first.x, first.y) == (0.5, 0.75)
+    with pytest.raises(Exception, match="no drift"):
+        tables.apply_drift(locs, drift, 10).collect()
+
+
+def test_blocks_part_crowded_cells(spark, monkeypatch):
+    import numpy as np
+
+    from spotlake.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 20)
+    monkeypatch.setattr(blocks, "COMBINATIONS", 500)
+    at = np.round(np.random.default_rng(5).normal(0, 0.4, (300, 2)), 1)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(900, None, 1.0)], "loc_id long, x double, y double")
+    d2 = ((at[:, None] - at[None]) ** 2).sum(-1)
+    got = {r.loc_id: r.density for r in spatial.local_density(df, 0.5).collect()}
+    assert blocks.blocks(df, 0.5).where("block > 0").count() > 0
+    assert got == {i: int(n) for i, n in enumerate((d2 < 0.25).sum(1))} | {900: 1}
+    near = {(r.loc_id, r.rank): (r.neighbour, r.d) for r in spatial.nearest_neighbours(df.where("x is not null"), df.where("x is not null"), 3, 0.05, same=True).collect()}
+    for i in range(300):
+        order = sorted((math.sqrt(d2[i, j]), j) for j in range(300) if j != i)[:3]
+        assert [near[i, k + 1] for k in range(3)] == [(j, d) for d, j in order]
