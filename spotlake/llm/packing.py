@@ -36,7 +36,7 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
         if not at[j]:
             return bounds[::-1]
         j = at[j] - 1
-    return [*reversed(bounds), *()] if j < 0 else sorted({*bounds, int(lengths[j])})
+    return bounds[::-1] if j < 0 else sorted({*bounds, int(lengths[j])})
 
 
 def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_len: int = 8192, buckets: int = 16, budget: int = 131_072) -> DataFrame:
