@@ -112,10 +112,10 @@ def pick_statistics(spark, d):
     return tidy(E.pick_statistics(S.picked_circles(A.locs(spark, d), A.picks(spark, d), 10.0), A.PIXELSIZE))
 
 
-@query("SELECT loc_id, l.x - along * 0 AS x FROM (SELECT loc_id, x, (x - 50) * 0.8::DOUBLE + (y - 10) * 0.6::DOUBLE AS along, (y - 10) * 0.8::DOUBLE - (x - 50) * 0.6::DOUBLE AS across FROM locs) l WHERE along > 0 AND along < 100 AND abs(across) < 10")
+@query("SELECT loc_id, x, round(along, 6) AS along, round(across, 6) AS across FROM (SELECT loc_id, x, (x - 50) * 0.8::DOUBLE + (y - 10) * 0.6::DOUBLE AS along, (y - 10) * 0.8::DOUBLE - (x - 50) * 0.6::DOUBLE AS across FROM locs) l WHERE along > 0 AND along < 100 AND abs(across) < 10")
 def picked_rectangle(spark, d):
-    inside, _, _ = X.in_rectangle(F.col("x"), F.col("y"), 50.0, 10.0, 130.0, 70.0, 20.0)
-    return A.locs(spark, d).where(inside).select("loc_id", "x")
+    inside, along, across = X.in_rectangle(F.col("x"), F.col("y"), 50.0, 10.0, 130.0, 70.0, 20.0)
+    return tidy(A.locs(spark, d).where(inside).select("loc_id", "x", along.alias("along"), across.alias("across")))
 
 
 @query("SELECT loc_id FROM locs WHERE y < 80 AND y >= 10 AND x < 100 + 3 * (80 - y) AND x >= 100")
