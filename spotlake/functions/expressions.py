@@ -85,8 +85,8 @@ def morton(x: Column, y: Column, bits: int = 16) -> Column:
 
 
 def rotate(x: Column, y: Column, z: Column, ax: float, ay: float, az: float) -> tuple[Column, Column, Column]:
-    """Rotation by angles about x, then y, then z."""
+    """Rotation about z, then y, then x; positive angles turn x to y, z to x and z to y."""
     sx, cx, sy, cy, sz, cz = math.sin(ax), math.cos(ax), math.sin(ay), math.cos(ay), math.sin(az), math.cos(az)
-    y, z = y * cx - z * sx, y * sx + z * cx
+    x, y = x * cz - y * sz, x * sz + y * cz
     x, z = x * cy + z * sy, z * cy - x * sy
-    return x * cz - y * sz, x * sz + y * cz, z
+    return x, y * cx + z * sx, z * cx - y * sx

@@ -11,8 +11,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import detection as D
 from . import events as E
+from .images import blur
+from .shared import checkpointed
 from .statistics import kinetic_rates
+from .tables import render_histogram
 
 SHAPES = ("circle", "square", "rectangle", "polygon")
 
@@ -146,3 +150,22 @@ def profile(picked: DataFrame, bins: int, length: float) -> DataFrame:
     """(pick_id, bin, n): rows of rectangular picks by their place along the axis."""
     at = F.least(F.floor(F.col("x_pick_rot") / (length / bins)), F.lit(bins - 1)).cast("long")
     return picked.groupBy("pick_id", at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def find_fiducials(locs: DataFrame, width: int, height: int, frames: int, pixelsize: float = 130.0) -> tuple[DataFrame, int]:
+    """((pick_id, x, y), box): bright spots of the image at one pixel a pixel, blurred by one pixel, around which more than 0.8 of
+    the frames have rows. box: about 900 nm in pixels, odd.
+
+    The spots are local maxima over a box whose net gradient is above the 99th percentile of the pixels. The image is as large
+    as a frame of the camera, whatever the rows, and is searched like one.
+    """
+    box = round(900 / pixelsize)
+    box += 1 - box % 2
+    image = checkpointed(blur(render_histogram(locs, 1.0, 0.0, 0.0, width, height), 1.0, height, width))
+    rank = 0.99 * (width * height - 1) - (width * height - image.count())  # among pixels with a value, all others being 0
+    q, share = max(rank, 0.0) / max(image.count() - 1, 1), min(max(rank + 1, 0.0), 1.0)
+    level = image.agg(F.percentile("value", min(q, 1.0))).first()[0] or 0.0
+    spots = D.identify(D.movie_of(image.withColumn("frame", F.lit(0).cast("long")), height, width, "float64"), level * share, box)
+    at = spots.select((F.col("y") * width + F.col("x")).alias("pick_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    counts = picked_locs(locs, at, "circle", box / 2).groupBy("pick_id").agg(F.count("*").alias("_n"))
+    return at.join(counts.where(F.col("_n") > 0.8 * frames).select("pick_id"), "pick_id", "left_semi"), box

@@ -3,23 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in spark.checkpoint.dir. Where that is unset, in a temporary folder in local mode; on a cluster, whose
-    executors do not share one, that is an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a temporary folder in local mode; on a cluster, whose executors do not share
+    one, that is an error."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written to the shared folder as Parquet and read again; with `by`, parted by that column, so that a filter on it reads
+    only what it needs. Ranges of that column, and of hashed rows within it, make a file for each task and value at most."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.repartitionByRange(by, F.xxhash64(*df.columns)).write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, marked for broadcasting if it has at most `rows` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

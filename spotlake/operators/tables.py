@@ -78,6 +78,17 @@ def center_groups(locs: DataFrame) -> DataFrame:
     return locs.join(means, F.col("group").eqNullSafe(F.col("_group"))).withColumns({c: F.col(c) - F.col(f"_{c}") for c in "xy"}).drop("_group", "_x", "_y")
 
 
+def unfold_square(locs: DataFrame, n_square: int = 10, spacing: float = 1.0) -> DataFrame:
+    """Groups side by side, n_square in a row: each about its own mean, in order of group, the least x and y being 0. `group`
+    becomes the number of the place; rows without a group are left out."""
+    means = locs.where(F.col("group").isNotNull()).groupBy("group").agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"), F.lit(1).cast("long").alias("_nth"))
+    placed = running_sums(means, "group", ["_nth"]).drop("total__nth").withColumn("_nth", F.col("_nth") - 1)
+    rows = locs.join(placed, "group").withColumns({"x": F.col("x") - F.col("_x") + F.col("_nth") % n_square * spacing, "y": F.col("y") - F.col("_y") + F.floor(F.col("_nth") / n_square) * spacing})
+    least = rows.agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
+    out = rows.join(F.broadcast(least)).withColumns({"x": F.col("x") - F.col("_x0"), "y": F.col("y") - F.col("_y0"), "group": F.col("_nth")})  # one row
+    return out.select(*locs.columns)
+
+
 def segment(locs: DataFrame, frames: int, segments: int) -> DataFrame:
     """Adds `segment`: equal spans of 0..frames-1 with open ends, so the last frame is in none."""
     step = (frames - 1) / segments
