@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,53 +16,117 @@ from .common import materialize, small
 #: ASCII letters in lower case, bytes of other characters as they are, all else a blank.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Counts that a task holds before it passes them on.
-HELD = 400_000
-COUNTS = "lang string, source string, term string, count long, docs long"
+HELD = 1_000_000
+#: Digests of texts that a task remembers.
+SEEN = 400_000
+COPIES = "lang string, digest binary, source string, n long, text string"
+COUNTS = "lang string, term string, docs long, cells array<struct<source:string,count:long>>"
+
+
+def first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, source, text) to rows of COPIES: a task passes on a text once, and at the end how many more copies of it each
+    source has."""
+    more: Counter = Counter()
+    seen: set[tuple[str, bytes]] = set()
+
+    def rest() -> pa.RecordBatch:
+        columns = [[key[k] for key in more] for k in range(3)]
+        kinds = [pa.string(), pa.binary(), pa.string()]
+        arrays = [*map(pa.array, columns, kinds), pa.array(more.values(), pa.int64()), pa.nulls(len(more), pa.string())]
+        more.clear()
+        return pa.RecordBatch.from_arrays(arrays, ["lang", "digest", "source", "n", "text"])
+
+    for batch in batches:
+        digests, new = [], []
+        for i, (lang, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            digest = hashlib.sha256(batch.column(2)[i].as_buffer()).digest()
+            if (lang, digest) in seen:
+                more[lang, digest, source] += 1
+            else:
+                seen.add((lang, digest))
+                digests.append(digest)
+                new.append(i)
+        if new:
+            own = batch if len(new) == len(batch) else batch.take(pa.array(new))
+            arrays = [own.column(0), pa.array(digests, pa.binary()), own.column(1), pa.array(np.ones(len(new), np.int64)), own.column(2)]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "digest", "source", "n", "text"])
+        if len(seen) + len(more) > SEEN:
+            seen.clear()
+            yield rest()
+    yield rest()
 
 
 def collapse(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, text, copies): each different text of a language once, with the number of its copies in each source. Copies are
-    counted where they are read, so a text that fills a third of the rows is a row a task when it is shuffled."""
+    """Rows of COPIES, those of equal texts of a language after each other and a row with the text first. A text that fills a
+    third of the rows is shuffled once by each task that reads it."""
     plain = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
-    rows = docs.select(plain(lang_col, "lang"), plain(source_col, "source"), plain(text_col, "text"))
-    each = rows.groupBy("lang", "text", "source").agg(F.count("*").alias("n"))
-    return each.groupBy("lang", "text").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
+    rows = docs.select(plain(lang_col, "lang"), plain(source_col, "source"), plain(text_col, "text")).mapInArrow(first_copies, COPIES)
+    return rows.repartition("lang", "digest").sortWithinPartitions("lang", "digest", F.col("text").isNull())
 
 
-def weighted_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of collapse() to partial sums of occurrences and of documents by language, source and term."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+def texts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, Counter]]:
+    """From rows of collapse(): language, text and copies in each source of every different text."""
+    last, text, copies = None, b"", Counter()
+    for batch in batches:
+        lang, digest, source, n = (batch.column(k).to_pylist() for k in range(4))
+        for i, key in enumerate(zip(lang, digest)):
+            if key != last:
+                if last:
+                    yield last[0], text, copies
+                last, text, copies = key, batch.column(4)[i].as_buffer().to_pybytes(), Counter()
+            copies[source[i]] += n[i]
+    if last:
+        yield last[0], text, copies
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (count, docs) in held.items():
-            n = len(count)
-            columns = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(count), pa.binary()).cast(pa.string())]
-            columns += [pa.array(count.values(), pa.int64()), pa.array([docs[term] for term in count], pa.int64())]
-            if n:
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
-        held.clear()
 
+def weighted_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of collapse() to rows of COUNTS: partial sums of documents by language and term, and of occurrences by source. Each
+    different text is split into words once and counts as often as it has copies."""
+    docs: dict[str, Counter] = defaultdict(Counter)
+    count: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
     entries = 0
-    for batch in batches:
-        for i in range(len(batch)):
-            words = batch.column(1)[i].as_buffer().to_pybytes().translate(LETTERS).split()
-            lang, own = batch.column(0)[i].as_py(), None
-            for copy in batch.column(2)[i].as_py():
-                key, n = (lang, copy["source"]), copy["n"]
-                count, docs = held.get(key) or held.setdefault(key, (Counter(), Counter()))
-                entries -= len(count)
-                if n == 1:
-                    count.update(words)
-                    docs.update(set(words))
-                else:
-                    own = own or Counter(words)
-                    for term, times in own.items():
-                        count[term] += n * times
-                        docs[term] += n
-                entries += len(count)
-            if entries > HELD:
-                yield from flush()
-                entries = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, terms in docs.items():
+            place = dict(zip(terms, range(len(terms))))
+            at = [np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in count[lang].values()]
+            times = [np.fromiter(c.values(), np.int64, len(c)) for c in count[lang].values()]
+            source = np.repeat(np.arange(len(at)), [len(x) for x in at])
+            at, times = np.concatenate(at), np.concatenate(times)
+            order = np.argsort(at, kind="stable")
+            names = pa.array(list(count[lang]), pa.string()).take(pa.array(source[order]))
+            cells = pa.StructArray.from_arrays([names, pa.array(times[order])], ["source", "count"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[order], np.arange(len(terms) + 1)), pa.int32()), cells)
+            words = pa.array(list(terms), pa.binary()).cast(pa.string())
+            whole = pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), words, pa.array(terms.values(), pa.int64()), lists], ["lang", "term", "docs", "cells"])
+            for start in range(0, len(whole), 20_000):
+                yield whole.slice(start, 20_000)
+        docs.clear()
+        count.clear()
+
+    for lang, text, copies in texts_once(batches):
+        words = text.translate(LETTERS).split()
+        if not words:
+            continue
+        n, own = copies.total(), None
+        if n == 1:
+            docs[lang].update(set(words))
+        else:
+            own = Counter(words)
+            for term in own:
+                docs[lang][term] += n
+        for source, n in copies.items():
+            mine = count[lang][source]
+            entries -= len(mine)
+            if own is None:
+                mine.update(words)
+            else:
+                for term, times in own.items():
+                    mine[term] += n * times
+            entries += len(mine)
+        if entries > HELD:
+            yield from flush()
+            entries = 0
     yield from flush()
 
 
@@ -132,9 +197,11 @@ def divergence_audit(docs: DataFrame, min_docs: int = 3, top: int = 200, scale:
     shares, and those of neither from their number. Null text, lang and source are ''; a source without terms has N = 0, a
     language without kept terms has pairs of value 0 and no terms; an empty table gives no rows. Other columns are ignored.
     """
-    text = collapse(docs, **columns)
-    partial = text.mapInArrow(weighted_counts, COUNTS)
-    each = partial.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    partial = collapse(docs, **columns).mapInArrow(weighted_counts, COUNTS).repartition("lang", "term")
+    # dealt by language and term, rows need no further shuffle: a term has a row for each task before, not for each text
+    number = F.col("pos") == 0
+    each = partial.select("lang", "term", "docs", F.posexplode("cells")).select("lang", "term", F.when(number, F.col("docs")).otherwise(0).alias("docs"), "col.*")
+    each = each.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     kept = each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("whole"), F.collect_list(F.struct("source", "count")).alias("cells"))
     kept = materialize(kept.where(F.col("docs") >= min_docs).drop("docs"), "terms")
 

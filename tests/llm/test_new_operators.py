@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +51,10 @@ def test_divergence_equals_brute_force(spark):
     for top in (4, 200):
         got = sorted(map(tuple, divergence.divergence_audit(table, top=top).collect()))
         assert got == brute_divergence(docs, 3, top)
-    assert divergence.collapse(table).count() == len({(d[0] or "", d[1] or "") for d in docs})
+    once = list(divergence.texts_once(divergence.collapse(table).toArrow().to_batches()))
+    assert sorted((lang, text.decode(), sorted(n.items())) for lang, text, n in once) == sorted(
+        (lang, text, sorted(Counter(d[2] or "" for d in docs if (d[1] or "", d[0] or "") == (lang, text)).items())) for lang, text in {(d[1] or "", d[0] or "") for d in docs}
+    )
     assert divergence.divergence_audit(table.where("false")).count() == 0
 
 
@@ -61,11 +65,16 @@ def test_partial_counts_are_passed_on(spark, monkeypatch):
         found = Counter()
         for b in divergence.weighted_counts(batches()):
             for r in b.to_pylist():
-                found[r["lang"], r["source"], r["term"]] += r["count"] * 1000 + r["docs"]
+                found[r["lang"], r["term"]] += r["docs"]
+                found.update({(r["lang"], r["term"], c["source"]): c["count"] for c in r["cells"]})
         return found
+
     whole = total()
     monkeypatch.setattr(divergence, "HELD", 1)
-    assert total() == whole and whole["en", "s", "a"] == 18_009
+    monkeypatch.setattr(divergence, "SEEN", 1)
+    assert total() == whole and whole["en", "a", "s"] == 18 and whole["en", "a"] == 9
+    repeated = [pa.RecordBatch.from_pylist([{"lang": "en", "source": s, "text": "a"}] * 3) for s in "sst"]
+    assert sum(sum(b.column("n").to_pylist()) for b in divergence.first_copies(iter(repeated))) == 9
 
 
 def brute_alignment(texts):
