@@ -123,7 +123,7 @@ def brute_alignment(texts):
 
 TEXTS = [
     "The cat sat on the mat.", "the the the  the", None, "", " ", "é ü 漢字 🙂", "a\tb\n\nc", "▁x", "<|endoftext|> hi <s></s>", "The cat sat on the mat.", "x" * 500, " " * 3000, "In nicht ü einachie lichütz.",
-    "the cat, the Mat; the hat 12345 \x00 <0x41>",
+    "the cat, the Mat; the hat 12345 \x00 <0x41>", "it\u2019s \u0660\u00b2 a\u00a0b \u3000 \u05d0\u0301 I'LL we'll \u0ba4\u0bae \U0001d7d8x",
 ]
 
 
@@ -142,6 +142,18 @@ def test_alignment_equals_brute_force(spark):
     assert alignment.score_links(alignment.align_tokenizers(rows.where("false"))).count() == 0
 
 
+def test_both_encoders_agree():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(alignment.BYTE_LEVEL)
+    model.encode_special_tokens = True
+    encode, _ = alignment.byte_level(alignment.BYTE_LEVEL)
+    rng = random.Random(2)
+    some = [chr(c) for c in alignment.TRIED] + [*" \n\t'dlm1A."] * 900 + ["\ua7f1", "\U0001f600", "<|endoftext|>"] * 30
+    texts = [" " + "".join(rng.choice(some) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    assert [x.tolist() for x in encode(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_alignment_of_very_long_texts(spark):
     rows = spark.createDataFrame([(1, " " * 2_000_000), (2, "\n" * 300_000), (3, "word " * 200_000)], "doc_id long, text string")
     got = {r.doc_id: r for r in alignment.align_tokenizers(rows, digest=True).collect()}
