@@ -104,15 +104,11 @@ def threshold_minimum(image: DataFrame, pixels: int, bins: int = 256, rounds: in
     """The lowest bin between two peaks of the histogram, which is smoothed over three bins until two are left; null if that fails."""
     counts, centers = _counted(image, pixels, bins)
 
-    def peaks(h: np.ndarray) -> list[int]:
-        found, rising = [], True
-        for i, step in enumerate(np.sign(np.diff(h))):
-            if rising and step < 0:
-                rising = False
-                found.append(i)
-            elif step > 0:
-                rising = True
-        return found
+    def peaks(h: np.ndarray) -> np.ndarray:
+        """Where steps that go up, or the start, are followed by steps that go down, level ones between them aside."""
+        way = np.sign(np.diff(h))
+        steps = np.flatnonzero(way)
+        return steps[(way[steps] < 0) & (np.r_[1, way[steps]][:-1] > 0)]
 
     for _ in range(rounds):
         counts = np.convolve(np.pad(counts, 1, "edge"), np.ones(3) / 3, "valid").astype(np.float32).astype(float)

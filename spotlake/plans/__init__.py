@@ -1,3 +1,3 @@
 """Queries of the package; importing it registers them in catalogue."""
 
-from . import catalogue, groups, measures, movies, regions, views  # noqa: F401
+from . import catalogue, groups, measures, molecules, movies, regions, views  # noqa: F401
