@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,69 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .tokens import PATTERN
+from .tokens import BYTE_LEVEL, Vocabulary, byte_level
 
-BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: At most so many id pairs are broadcast: those that hold at least one link in so many.
 FREQUENT = 100_000
 
 
-#: Code points on which the quicker encoder is tried against the file's own; texts of others take the latter. So do texts
-#: of more than LONG characters, as a long run of white space overflows the quicker one's stack.
-TRIED = [*range(0x800), *range(0x2000, 0x2070), *range(0x3040, 0x3100), *range(0x4E00, 0xA000)]
-LONG = 100_000
-
-
-class Vocabulary:
-    """The bytes of each id, one after the other, and its decimal number followed by each of the marks that may come after it."""
-
-    def __init__(self, tokens: list[bytes]):
-        if b"" in tokens:
-            raise ValueError("a token without bytes cannot be aligned")
-        self.length = np.array([len(t) for t in tokens], np.int64)
-        self.first = np.cumsum(self.length) - self.length
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.written = [f"{i}{mark}" for i in range(len(tokens)) for mark in ",|;"]
-
-    def join(self, ids: np.ndarray) -> bytes:
-        length = self.length[ids]
-        end = np.cumsum(length)
-        return self.bytes[np.repeat(self.first[ids] - end + length, length) + np.arange(length.sum())].tobytes()
-
-
-@functools.cache
-def byte_level(path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], Vocabulary]:
-    """Encoder of a byte-level BPE file and its vocabulary. A byte's stand-in is itself if it is printable Latin-1, else the
-    next free character from 256 on. Byte pairs are merged by the same ranks in tiktoken, which is some four times quicker;
-    texts take it if all their characters are among those for which both encoders were found to part words alike."""
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    stand_in = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(printable)))}
-    special = {token.content for token in model.get_added_tokens_decoder().values()}
-    ranks = {bytes(stand_in[c] for c in token): i for token, i in model.get_vocab().items() if token not in special}
-    found = [b" "] * model.get_vocab_size()  # an id of no plain token never comes
-    for token, i in ranks.items():
-        found[i] = token
-    quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    slow = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-    trials = ["a{0}a 1{0}1 .{0}. {0}\n{0}  {0}".format(chr(c)) for c in TRIED]
-    alike = "".join(t[1] for t, ids in zip(trials, slow(trials)) if ids == quick(t))
-    other = re.compile(f"[^{re.escape(alike)}]")
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        out = [None if len(t) > LONG or other.search(t) else np.array(quick(t), np.int64) for t in texts]
-        for k, ids in enumerate(out):
-            if ids is None:
-                out[k] = np.array(slow([texts[k]])[0], np.int64)
-        return out
-
-    return encode, Vocabulary(found)
-
-
 @functools.cache
 def pieces(path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], Vocabulary]:
     """Encoder of a sentence-piece file and its vocabulary."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("spotlake.llm")
 
-from spotlake.llm import alignment, chat, divergence, queries  # noqa: E402
+from spotlake.llm import alignment, chat, divergence, queries, tokens  # noqa: E402
 
 LETTER = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -149,11 +149,17 @@ def test_both_encoders_agree():
     model.encode_special_tokens = True
     encode, _ = alignment.byte_level(alignment.BYTE_LEVEL)
     rng = random.Random(2)
-    some = [chr(c) for c in alignment.TRIED] + [*" \n\t'dlm1A."] * 900 + ["\ua7f1", "\U0001f600", "<|endoftext|>"] * 30
+    some = [chr(c) for c in tokens.TRIED] + [*" \n\t'dlm1A."] * 900 + ["\ua7f1", "\U0001f600", "<|endoftext|>"] * 30
     texts = [" " + "".join(rng.choice(some) for _ in range(rng.randrange(60))) for _ in range(3000)]
     assert [x.tolist() for x in encode(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_token_counts_of_very_long_texts(spark):
+    rows = spark.createDataFrame([(1, " " * 5_000_000), (2, "\n" * 3_000_000), (3, "word " * 300_000), (4, None), (5, "")], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.token_lengths(rows).collect()}
+    assert got[1] == 5_000_000 and got[2] == 1_500_000 and got[3] == 300_001 and got[4] == got[5] == 0
+
+
 def test_alignment_of_very_long_texts(spark):
     rows = spark.createDataFrame([(1, " " * 2_000_000), (2, "\n" * 300_000), (3, "word " * 200_000)], "doc_id long, text string")
     got = {r.doc_id: r for r in alignment.align_tokenizers(rows, digest=True).collect()}
