@@ -22,8 +22,8 @@ def lloyd(points, centers):
         centers = new
 
 
-@pytest.mark.parametrize("space", [("x", "y"), ("x", "y", "z")])
-def test_kmeans_equals_plain_lloyd(spark, space):
+@pytest.mark.parametrize(("space", "limit"), [(("x", "y"), 10_000), (("x", "y", "z"), 10)])
+def test_kmeans_equals_plain_lloyd(spark, space, limit):
     rng = random.Random(6)
     rows = [(k, k % 2, *(rng.gauss(5 * (k % 3), 1.0 + k % 2) for _ in range(3)), 7) for k in range(120)]
     rows += [(500, 4, 1.0, 1.0, 1.0, 7), (501, 4, 1.0, 1.0, 1.0, 7), (502, 4, 2.0, 1.0, 1.0, 7), (503, None, 1.0, 1.0, 1.0, 7), (504, 0, None, 1.0, 1.0, 7), (505, 6, 3.0, 3.0, 3.0, 7)]
@@ -31,7 +31,7 @@ def test_kmeans_equals_plain_lloyd(spark, space):
     clean = table.dropna(subset=["pick_id", "x"])
     start = {r.pick_id: [list(c) for c in r.centers] for r in kmeans.far_seeds(clean, 3, list(space)).collect()}
     assert {p: len(c) for p, c in start.items()} == {0: 3, 1: 3, 4: 2, 6: 1}
-    found, places = kmeans.kmeans_in_picks(table, 3, space)
+    found, places = kmeans.kmeans_in_picks(table, 3, space, limit=limit)
     got = {r.loc_id: r.cluster for r in found.collect()}
     for pick, centers in start.items():
         points = {r[0]: r[2 : 2 + len(space)] for r in rows if r[1] == pick and r[2] is not None}
