@@ -20,6 +20,7 @@ from ..functions import expressions as X
 MOVIE = "frame long, height int, width int, dtype string, pixels binary"
 IDS = "frame long, x long, y long, net_gradient double"
 MOMENTS = ("fx", "fy", "photons", "bg", "sx", "sy")
+FITTED_AT_ONCE = 2000
 
 
 def image_of(row: dict) -> np.ndarray:
@@ -71,19 +72,31 @@ def identify_in_image(image: np.ndarray, minimum: float, box: int, roi: tuple[tu
     return y[keep] + y0, x[keep] + x0, gradient[keep]
 
 
-def identify(movie: DataFrame, minimum: float, box: int, roi=None, frame_bounds: tuple[int | None, int | None] = (None, None)) -> DataFrame:
-    """(frame, x, y, net_gradient) of the spots of every frame within the bounds (inclusive)."""
+def frames_within(movie: DataFrame, frame_bounds: tuple[int | None, int | None]) -> DataFrame:
+    """The movie's own columns of the frames within the bounds (inclusive, None: open)."""
     low, high = frame_bounds
     seen = movie if low is None else movie.where(F.col("frame") >= low)
     seen = seen if high is None else seen.where(F.col("frame") <= high)
+    return seen.select(*[c.split()[0] for c in MOVIE.split(", ")])
+
+
+def images_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(frame, image) of the rows of Arrow batches, one image at a time."""
+    for batch in batches:
+        for at in range(len(batch)):
+            row = batch.slice(at, 1).to_pylist()[0]
+            yield row["frame"], image_of(row)
+
+
+def identify(movie: DataFrame, minimum: float, box: int, roi=None, frame_bounds: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """(frame, x, y, net_gradient) of the spots of every frame within the bounds (inclusive)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                y, x, gradient = identify_in_image(image_of(row), minimum, box, roi)
-                yield pa.RecordBatch.from_arrays([pa.array([row["frame"]] * len(y), pa.int64()), pa.array(x), pa.array(y), pa.array(gradient)], ["frame", "x", "y", "net_gradient"])
+        for frame, image in images_of(batches):
+            y, x, gradient = identify_in_image(image, minimum, box, roi)
+            yield pa.RecordBatch.from_arrays([pa.array([frame] * len(y), pa.int64()), pa.array(x), pa.array(y), pa.array(gradient)], ["frame", "x", "y", "net_gradient"])
 
-    return seen.select(*[c.split()[0] for c in MOVIE.split(", ")]).mapInArrow(find, IDS)
+    return frames_within(movie, frame_bounds).mapInArrow(find, IDS)
 
 
 def picks_to_identifications(picks: DataFrame, frames: int, drift: DataFrame | None = None) -> DataFrame:
@@ -102,22 +115,30 @@ def locs_to_identifications(locs: DataFrame, frames: int, around: int) -> DataFr
     return inner.select((F.col("loc_id") + 1).alias("n_id"), "x", "y", span, F.lit(101.0).alias("net_gradient"))
 
 
+def cut_boxes(image: np.ndarray, x: np.ndarray, y: np.ndarray, box: int, baseline: float, sensitivity: float, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keep, spots): which boxes around (x, y) lie inside the image, and the photons in those, n x box x box."""
+    half = box // 2
+    keep = (x >= half) & (y >= half) & (x < image.shape[1] - half) & (y < image.shape[0] - half)
+    reach = np.arange(-half, half + 1)
+    spots = image[y[keep][:, None, None] + reach[:, None], x[keep][:, None, None] + reach]
+    return keep, (spots.astype(np.float64) - baseline) * sensitivity / gain
+
+
 def get_spots(movie: DataFrame, ids: DataFrame, box: int, baseline: float = 0.0, sensitivity: float = 1.0, gain: float = 1.0) -> DataFrame:
-    """ids with `box` and `spot`: the photons of the box around each, row by row. Boxes that leave the image are dropped."""
-    names, half = ids.columns, box // 2
+    """ids with `box` and `spot`: the photons of the box around each, row by row. Boxes that leave the image are dropped.
+
+    For ids from elsewhere, which have to meet their frames by a shuffle; `localize` finds, cuts and fits where a frame is read.
+    """
+    names = ids.columns
 
     def cut(own: pa.Table, images: pa.Table) -> pa.Table:
-        spots = []
-        table = own.to_pandas()
-        frames = images.to_pylist()
-        keep = np.zeros(len(table), bool)
+        keep, spots = np.zeros(len(own), bool), np.zeros((0, box, box))
+        frames = images.slice(0, 1).to_pylist()
         if frames:
-            image = image_of(frames[0])
-            x, y = table["x"].to_numpy().astype(np.int64), table["y"].to_numpy().astype(np.int64)
-            keep = (x >= half) & (y >= half) & (x < image.shape[1] - half) & (y < image.shape[0] - half)
-            spots = [((image[j - half : j + half + 1, i - half : i + half + 1].astype(np.float64) - baseline) * sensitivity / gain).ravel() for i, j in zip(x[keep], y[keep], strict=True)]
+            x, y = (own.column(c).to_numpy().astype(np.int64) for c in "xy")
+            keep, spots = cut_boxes(image_of(frames[0]), x, y, box, baseline, sensitivity, gain)
         kept = own.filter(pa.array(keep))
-        return pa.table({**{c: kept.column(c) for c in names}, "box": pa.array([box] * len(spots), pa.int32()), "spot": pa.array(spots, pa.list_(pa.float64()))})
+        return pa.table({**{c: kept.column(c) for c in names}, "box": pa.array([box] * len(spots), pa.int32()), "spot": pa.array(list(spots.reshape(len(spots), box * box)), pa.list_(pa.float64()))})
 
     shape = ", ".join(f"`{c}` {kind}" for c, kind in ids.dtypes) + ", box int, spot array<double>"
     return ids.groupBy("frame").cogroup(movie.groupBy("frame")).applyInArrow(cut, shape)
@@ -170,13 +191,26 @@ def fit_least_squares(spots: np.ndarray, rounds: int = 40, tolerance: float = 1e
     return theta
 
 
-_erf = np.frompyfunc(math.erf, 1, 1)
+#: erf at steps of 1/512 up to 6, beyond which it is 1 to double precision.
+_ERF_STEPS = 512
+_ERF = np.array([math.erf(i / _ERF_STEPS) for i in range(6 * _ERF_STEPS + 2)])
+_ERF_SLOPE = 2 / math.sqrt(math.pi) * np.exp(-((np.arange(len(_ERF)) / _ERF_STEPS) ** 2)) / _ERF_STEPS
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    """The error function by cubic interpolation of a table with its slopes; absolute error below 1e-12."""
+    at = np.minimum(np.abs(x), 6.0) * _ERF_STEPS
+    i = at.astype(np.int64)
+    t = at - i
+    u = 1 - t
+    value = u * u * ((1 + 2 * t) * _ERF[i] + t * _ERF_SLOPE[i]) + t * t * ((1 + 2 * u) * _ERF[i + 1] - u * _ERF_SLOPE[i + 1])
+    return np.copysign(value, x)
 
 
 def _pixel_shares(center: np.ndarray, sigma: np.ndarray, grid: np.ndarray):
     """Shares of a Gaussian in each pixel, with first and second derivatives by centre and by width."""
     s, low, high = sigma[:, None], grid - 0.5 - center[:, None], grid + 0.5 - center[:, None]
-    share = 0.5 * (_erf(high / (math.sqrt(2) * s)) - _erf(low / (math.sqrt(2) * s))).astype(float)
+    share = 0.5 * (_erf(high / (math.sqrt(2) * s)) - _erf(low / (math.sqrt(2) * s)))
     a, b, norm = np.exp(-0.5 * (low / s) ** 2), np.exp(-0.5 * (high / s) ** 2), math.sqrt(2 * math.pi)
     first = low * a - high * b
     by_width2 = ((low**3 * a - high**3 * b) / s**5 - 2 * first / s**3) / norm
@@ -235,41 +269,28 @@ def fit_likelihood(spots: np.ndarray, round_spot: bool = False, eps: float = 1e-
     return theta, bounds, np.where(value > 0, gain, 0.0).sum(axis=(1, 2)), took
 
 
-def fit_spots(spots: DataFrame, method: str = "lq", em: bool = False) -> DataFrame:
-    """Localizations of cut spots, each task fitting its batches as they come.
+def _fitted_columns(method: str) -> list[str]:
+    return [*MOMENTS, *([f"b{i}" for i in range(6)] + ["log_likelihood", "iterations"] if method.startswith("mle") else [])]
 
-    method lq: least squares; mle: likelihood with two widths; mle_round: with one; average: the sum of the box at its
-    centre. Columns of the ids stay (x and y are moved to the fitted place); photons, sx, sy, bg, lpx, lpy and ellipticity
-    are added, by likelihood also log_likelihood, iterations and *_unc. em: electron-multiplying camera.
-    """
-    names = [c for c in spots.columns if c not in ("spot", "box")]
-    extra = [f"b{i}" for i in range(6)] + ["log_likelihood", "iterations"] if method.startswith("mle") else []
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                box = part.column("box")[0].as_py()
-                data = np.array(part.column("spot").to_pylist(), float).reshape(-1, box, box)
-                more = []
-                if method == "lq":
-                    theta = fit_least_squares(data)
-                elif method == "average":
-                    total, zero, one = data.sum(axis=(1, 2)), np.zeros(len(data)), np.ones(len(data))
-                    theta = np.column_stack([zero, zero, total, total, one, one])
-                else:
-                    theta, bounds, likelihood, took = fit_likelihood(data, method == "mle_round")
-                    more = [*bounds.T, likelihood, took.astype(float)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(np.ascontiguousarray(c)) for c in [*theta.T, *more])], [*names, *MOMENTS, *extra])
+def _fit_columns(spots: np.ndarray, method: str) -> list[np.ndarray]:
+    """Values of `_fitted_columns` for n x box x box photons."""
+    if method == "lq":
+        return [*fit_least_squares(spots).T]
+    if method == "average":
+        total, zero, one = spots.sum(axis=(1, 2)), np.zeros(len(spots)), np.ones(len(spots))
+        return [zero, zero, total, total, one, one]
+    theta, bounds, likelihood, took = fit_likelihood(spots, method == "mle_round")
+    return [*theta.T, *bounds.T, likelihood, took.astype(float)]
 
-    kinds = dict(spots.dtypes)
-    shape = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{c} double" for c in (*MOMENTS, *extra)])
-    fitted = spots.mapInArrow(fit, shape)
+
+def _as_localizations(fitted: DataFrame, names: list[str], method: str, em: bool) -> DataFrame:
+    """Fitted columns beside those of the ids (`names`) as a localization table."""
     wide, narrow = F.greatest("sx", "sy"), F.least("sx", "sy")
     kept = [F.col(c) for c in names if c not in ("x", "y")]
     place = [(F.col("x") + F.col("fx")).alias("x"), (F.col("y") + F.col("fy")).alias("y")]
     found = [F.col(c) for c in ("photons", "sx", "sy", "bg")]
-    if extra:
+    if method.startswith("mle"):
         precision = [F.sqrt("b0").alias("lpx"), F.sqrt("b1").alias("lpy")]
         found += [F.col("log_likelihood"), F.col("iterations").cast("long").alias("iterations"), *[F.sqrt(b).alias(f"{c}_unc") for b, c in (("b2", "photons"), ("b3", "bg"), ("b4", "sx"), ("b5", "sy"))]]
     else:
@@ -277,10 +298,56 @@ def fit_spots(spots: DataFrame, method: str = "lq", em: bool = False) -> DataFra
     return fitted.select(*kept, *place, *found, *precision, ((wide - narrow) / wide).alias("ellipticity"))
 
 
-def localize(movie: DataFrame, minimum: float, box: int, method: str = "lq", roi=None, frame_bounds=(None, None), baseline: float = 0.0, sensitivity: float = 1.0, gain: float = 1.0) -> DataFrame:
-    """Detection, cutting and fitting of a whole movie."""
-    ids = identify(movie, minimum, box, roi, frame_bounds)
-    return fit_spots(get_spots(movie, ids, box, baseline, sensitivity, gain), method)
+def fit_spots(spots: DataFrame, method: str = "lq", em: bool = False) -> DataFrame:
+    """Localizations of cut spots, each task fitting its batches as they come.
+
+    method lq: least squares; mle: likelihood with two widths; mle_round: with one; average: the sum of the box at its
+    centre. Columns of the ids stay (x and y are moved to the fitted place); photons, sx, sy, bg, lpx, lpy and ellipticity
+    are added, by likelihood also log_likelihood, iterations and *_unc. em: electron-multiplying camera.
+    """
+    names, added = [c for c in spots.columns if c not in ("spot", "box")], _fitted_columns(method)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), FITTED_AT_ONCE):
+                part = batch.slice(at, FITTED_AT_ONCE)
+                box = part.column("box")[0].as_py()
+                values = _fit_columns(np.array(part.column("spot").to_pylist(), float).reshape(-1, box, box), method)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(np.ascontiguousarray(c)) for c in values)], [*names, *added])
+
+    kinds = dict(spots.dtypes)
+    shape = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{c} double" for c in added])
+    return _as_localizations(spots.mapInArrow(fit, shape), names, method, em)
+
+
+def localize(movie: DataFrame, minimum: float, box: int, method: str = "lq", roi=None, frame_bounds=(None, None), baseline: float = 0.0, sensitivity: float = 1.0, gain: float = 1.0, em: bool = False) -> DataFrame:
+    """Detection, cutting and fitting of a whole movie (methods as in `fit_spots`), each frame where it is read: no image is
+    shuffled, and a task holds one image and the spots of its frames up to FITTED_AT_ONCE, or those of one crowded frame.
+    A frame without spots gives no row; columns that a movie has besides its own are ignored."""
+    names, added = [c.split()[0] for c in IDS.split(", ")], _fitted_columns(method)
+
+    def fitted(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        frame, x, y, gradient, spots = (np.concatenate(c) for c in zip(*held, strict=True))
+        for at in range(0, len(spots), FITTED_AT_ONCE):
+            part = slice(at, at + FITTED_AT_ONCE)
+            values = _fit_columns(spots[part], method)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (frame[part], x[part], y[part], gradient[part], *values)], [*names, *added])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for frame, image in images_of(batches):
+            y, x, gradient = identify_in_image(image, minimum, box, roi)
+            keep, spots = cut_boxes(image, x, y, box, baseline, sensitivity, gain)
+            held.append((np.full(len(spots), frame, np.int64), x[keep], y[keep], gradient[keep], spots))
+            waiting += len(spots)
+            if waiting >= FITTED_AT_ONCE:
+                yield from fitted(held)
+                held, waiting = [], 0
+        if waiting:
+            yield from fitted(held)
+
+    shape = ", ".join([IDS, *[f"{c} double" for c in added]])
+    return _as_localizations(frames_within(movie, frame_bounds).mapInArrow(work, shape), names, method, em)
 
 
 def localize_3d(movie: DataFrame, minimum: float, box: int, cx: list[float], cy: list[float], magnification: float = 1.0, **options) -> DataFrame:

@@ -36,9 +36,7 @@ def identify(spark, d):
 
 @query(FOUND + ", s AS (SELECT f.frame, f.x, f.y, (sum(q.value) - 49 * 2) * 0.5::DOUBLE AS photons FROM found f JOIN pixels q ON q.frame = f.frame AND abs(q.iy - f.y) <= 3 AND abs(q.ix - f.x) <= 3 GROUP BY ALL) SELECT frame, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(photons, 6) AS photons, round(photons, 6) AS bg, 0::DOUBLE AS ellipticity FROM s")
 def average_roi(spark, d):
-    frames = movie(spark, d)
-    spots = D.get_spots(frames, D.identify(frames, 40.0, BOX), BOX, baseline=2.0, sensitivity=0.5)
-    return tidy(D.fit_spots(spots, "average").select("frame", "x", "y", "photons", "bg", "ellipticity"))
+    return tidy(D.localize(movie(spark, d), 40.0, BOX, "average", baseline=2.0, sensitivity=0.5).select("frame", "x", "y", "photons", "bg", "ellipticity"))
 
 
 @query()

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spotlake.operators import detection as D
 
@@ -69,6 +70,30 @@ def test_identify_equals_brute_force(spark):
     assert D.localize(movie.where("frame < 0"), 30.0, 5).count() == 0
 
 
+def test_localize_is_one_pass_and_equals_its_steps(spark):
+    rng = np.random.default_rng(11)
+    images = rng.integers(0, 9, (6, 32, 40)) + 60 * (rng.random((6, 32, 40)) < 0.02)
+    images[4] = 0  # a frame without spots
+    rows = [(f, y, x, int(v)) for f, image in enumerate(images) for (y, x), v in np.ndenumerate(image)]
+    movie = D.movie_of(spark.createDataFrame(rows, "frame long, iy long, ix long, value long"), 32, 40)
+    stored = spark.createDataFrame(movie.toPandas(), D.MOVIE).withColumn("net_gradient", F.lit("another column"))
+    for method in ("lq", "mle", "mle_round", "average"):
+        camera = {"baseline": 1.0, "sensitivity": 2.0, "gain": 4.0}
+        got = D.localize(stored, 30.0, 5, method, frame_bounds=(1, None), **camera)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        ids = D.identify(stored, 30.0, 5, frame_bounds=(1, None))
+        want = D.fit_spots(D.get_spots(stored, ids, 5, **camera), method)
+        assert got.columns == want.columns
+        a, b = ([str([round(v, 6) for v in r]) for r in df.orderBy("frame", "x", "y").collect()] for df in (got, want))
+        assert a == b and len(a) > 20 and not {r.frame for r in got.select("frame").collect()} & {0, 4}
+
+
+def test_erf_table():
+    x = np.concatenate([np.linspace(-7, 7, 30_011), [0.0, -0.0, 6.0, -6.0, 1e9, -1e9, np.inf, 1e-300]])
+    assert np.abs(D._erf(x) - np.array([math.erf(v) for v in x])).max() < 1e-12
+
+
 def test_calibration_and_z(spark):
     cx, cy = [0, 0, 0, 0, 3e-6, 1e-3, 1.05], [0, 0, 0, 0, 3e-6, -1e-3, 1.05]
     z = 500 - 10 * np.arange(101)
