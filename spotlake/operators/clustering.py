@@ -140,10 +140,15 @@ def nena(locs: DataFrame, bin_size: float = 0.001, d_max: float = 1.0) -> dict[s
     for r in S.next_frame_distances(locs, bin_size, d_max).collect():
         if r["bin"] < len(counts):
             counts[r["bin"]] = r["n"]
+    lp = float(np.mean(locs.agg(F.median("lpx"), F.median("lpy")).first())) if counts.any() else math.nan
+    return fit_nena(counts, bin_size, lp)
+
+
+def fit_nena(counts: np.ndarray, bin_size: float, lp: float) -> dict[str, float]:
+    """The curve's parameters for a histogram of distances, from lp as a first precision; all NaN for an empty one."""
     if not counts.any():
         return dict.fromkeys(NENA, math.nan)
     d = (np.arange(len(counts)) + 0.5) * bin_size
-    lp = float(np.mean(locs.agg(F.median("lpx"), F.median("lpy")).first()))
     area = float(((counts[1:] + counts[:-1]) / 2).sum() * bin_size)
 
     def curve(p: np.ndarray) -> np.ndarray:

@@ -88,6 +88,15 @@ def counted(locs: DataFrame, by: str, oversampling: float = 1.0) -> DataFrame:
     return locs.groupBy(F.col(by).alias("image"), pixel("y").alias("iy"), pixel("x").alias("ix")).agg(F.count("*").alias("value"))
 
 
+def drift_curve(shifts: dict[tuple, tuple[float, float]], edges: np.ndarray, frames: int, oversampling: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(dx, dy) of every frame: a spline through the places of the segments between the edges that fit their shifts best."""
+    names = list(range(len(edges) - 1))
+    place = minimize_shifts(shifts, names)
+    middle, every = (edges[:-1] + edges[1:]) / 2, np.arange(frames)
+    dy, dx = (spline(middle, np.array([place[n][k] for n in names]) / oversampling, every) if len(names) > 1 else np.zeros(frames) for k in (0, 1))
+    return dx, dy
+
+
 def correlation_drift(locs: DataFrame, frames: int, per_segment: int, reach: int = 8, oversampling: float = 1.0) -> DataFrame:
     """(frame, dx, dy): drift from the redundant cross-correlations of all pairs of segments of `per_segment` frames, as a
     spline over the segments' middles. The number of segments is bounded by the movie, not by its rows."""
@@ -95,12 +104,8 @@ def correlation_drift(locs: DataFrame, frames: int, per_segment: int, reach: int
     edges = np.linspace(0, frames - 1, segments + 1)
     rows = locs.withColumn("_segment", F.least(F.floor(F.col("frame") / (edges[1] - edges[0])), F.lit(segments - 1)).cast("long"))
     images = checkpointed(counted(rows, "_segment", oversampling))
-    names = list(range(segments))
-    place = minimize_shifts(image_shifts(cross_correlation(images, reach)), names)
-    middle, every = (edges[:-1] + edges[1:]) / 2, np.arange(frames)
-    dy, dx = (spline(middle, np.array([place[n][k] for n in names]) / oversampling, every) if segments > 1 else np.zeros(frames) for k in (0, 1))
-    table = locs.sparkSession.createDataFrame([(int(f), float(a), float(b)) for f, a, b in zip(every, dx, dy, strict=True)], "frame long, dx double, dy double")
-    return table
+    dx, dy = drift_curve(image_shifts(cross_correlation(images, reach)), edges, frames, oversampling)
+    return locs.sparkSession.createDataFrame([(f, float(a), float(b)) for f, (a, b) in enumerate(zip(dx, dy, strict=True))], "frame long, dx double, dy double")
 
 
 def align_channels(locs: DataFrame, channel: str = "channel", reach: int = 8, oversampling: float = 1.0) -> DataFrame:

@@ -52,11 +52,11 @@ def pair_correlation(locs: DataFrame, bin_size: float, r_max: float) -> DataFram
     return distance_histogram(locs, bin_size, r_max).select("bin", (b * bin_size).alias("r"), (F.col("n") / area).alias("g"))
 
 
-def next_frame_distances(locs: DataFrame, bin_size: float, d_max: float) -> DataFrame:
-    """(bin, n): distances of at most d_max between rows of one group in consecutive frames."""
+def next_frame_distances(locs: DataFrame, bin_size: float, d_max: float, by: list[str] | None = None) -> DataFrame:
+    """(bin, n): distances of at most d_max between rows of one group in consecutive frames; by ["group"], for each group."""
     later = locs.select("group", (F.col("frame") - 1).alias("frame"), "x", "y")
     pairs = spatial_join(locs.select("group", "frame", "x", "y"), later, d_max, on=["group", "frame"], inclusive=True)
-    return pairs.groupBy(F.floor(F.col("d") / bin_size).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return pairs.groupBy(*[F.col(f"l.{c}").alias(c) for c in by or []], F.floor(F.col("d") / bin_size).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def nearest_neighbours(left: DataFrame, right: DataFrame, k: int, r: float, same: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import expressions as X
 from ..operators import events as E
 from ..operators import graphs as G
 from ..operators import images as I
+from ..operators import quality as Q
 from ..operators import spatial as S
 from ..operators import statistics as M
 from ..operators import tables as T
@@ -121,6 +122,21 @@ def summary(spark, d):
     return tidy(M.summary(A.locs(spark, d), ["x", "photons"], "channel"))
 
 
+MEAN_SQL = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std" if c not in ("ellipticity", "d_zcalib") else f"NULL::DOUBLE AS {c}_mean, NULL::DOUBLE AS {c}_std" for c in Q.MEANS)
+
+
+@query(f"SELECT channel AS file, count(*) AS n_locs, max(frame) AS last_frame, {MEAN_SQL} FROM locs GROUP BY 1")
+def file_means(spark, d):
+    return tidy(Q.file_means(A.locs(spark, d).withColumnRenamed("channel", "file")))
+
+
+@query()
+def file_summaries(spark, d):
+    rows = A.locs(spark, d).withColumnRenamed("channel", "file")
+    movies = rows.select("file").distinct().withColumn("frames", F.lit(A.FRAMES)).withColumn("pixelsize", F.lit(A.PIXELSIZE))
+    return tidy(Q.file_summaries(rows, movies, r=2.0, max_dark_time=36, bin_size=0.1, d_max=10.0), 3)
+
+
 @query("SELECT channel, CAST(least(floor((photons - 100) / 90::DOUBLE), 49) AS BIGINT) AS bin, count(*) AS n FROM locs WHERE photons BETWEEN 100 AND 4600 GROUP BY 1, 2")
 def common_histogram(spark, d):
     return M.common_histogram(A.locs(spark, d), "channel", "photons", 50, 100.0, 4600.0)
