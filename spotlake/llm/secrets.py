@@ -28,6 +28,24 @@ ENCODINGS = {
 }
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 TINY = 1e-15
+#: Matches of a text that are walked through at once; see `blocks`.
+BLOCK = 64
+
+
+def blocks(items: Column) -> Column:
+    """items in slices of BLOCK, the last one shorter; none of an empty array.
+
+    What is carried from item to item is carried within and then between blocks, as an array or text that grows item by item
+    is copied each time, which would be quadratic in the matches of a text.
+    """
+    starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(items) > 0, F.transform(starts, lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK))))
+
+
+def running(sizes: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For an array of integers the array of what `join` makes of all before each, from 0 on."""
+    step = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -37,18 +55,23 @@ def located(text: Column, pattern: str) -> Column:
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    sized = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")))
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    spans = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.array_append(acc["spans"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["hit"].alias("hit"))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    plus = lambda at, size: at + size
+
+    def place(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda at, x: at + x["gap"] + x["size"]))
+        return F.flatten(F.zip_with(parts, running(lengths, plus), within))
+
+    def within(part: Column, at: Column) -> Column:
+        before = running(F.transform(part, lambda x: x["gap"] + x["size"]), plus)
+        start = lambda x, b: at + b + x["gap"]
+        return F.zip_with(part, before, lambda x, b: F.struct(start(x, b).alias("start"), (start(x, b) + x["size"]).alias("end"), x["hit"].alias("hit")))
+
+    def sized(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(found["gaps"], F.lit(1), F.size(found["hits"])), found["hits"], lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")))
+        return let(pairs, lambda items: F.coalesce(let(blocks(items), place), none))
+
+    return F.when(text.rlike(pattern), let(F.struct(gaps.alias("gaps"), hits.alias("hits")), sized)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -222,7 +245,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     if not any(r["null"] == "text" for r in found.cuts):  # no token of the corpus is a discovery
         random = F.array().cast("array<struct<start:int,end:int,hit:string>>")
     marked = rows.select("_in", base_spans(F.col("_text")).alias("_base"), random.alias("_random"))
-    free = F.filter("_random", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    # each block of base spans, which lie in order of start, is passed over whole unless its own extent meets the token
+    extent = lambda part: F.struct(F.element_at(part, 1)["start"].alias("start"), F.array_max(F.transform(part, lambda b: b["end"])).alias("end"), part.alias("part"))
+    held = F.coalesce(F.transform(blocks(F.col("_base")), extent), F.array().cast("array<struct<start:int,end:int,part:array<struct<kind:string,start:int,end:int>>>>"))
+    free = let(held, lambda parts: F.filter("_random", lambda r: ~F.exists(parts, lambda block: meet(block, r) & F.exists(block["part"], lambda b: meet(b, r)))))
     order = lambda s: F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).when(s["kind"] == "hex", 2).otherwise(3)
     both = F.concat("_base", F.transform(free, lambda r: F.struct(F.lit("random").alias("kind"), r["start"].alias("start"), r["end"].alias("end"))))
     keyed = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), order(s).alias("o"), s["kind"].alias("kind"), s["end"].alias("end"))))
@@ -231,14 +258,27 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span replaced by a mark; spans that overlap are replaced as one."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """The text with each span replaced by a mark; spans, which lie in order of start, are replaced as one where they overlap.
+
+    The text is cut once for each block of spans, and each block's part is then marked span by span.
+    """
+
+    def marked(at: Column, part: Column) -> Column:
+        """The text from `at` to the last end of a block's spans."""
+        last = F.greatest(at, F.array_max(F.transform(part, lambda s: s["end"])))
+
+        def walk(own: Column) -> Column:
+            step = lambda acc, s: F.struct(
+                F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(own, acc["at"] - at + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+                F.greatest(acc["at"], s["end"]).alias("at"),
+            )
+            return F.aggregate(part, F.struct(F.lit("").alias("out"), at.alias("at")), step, lambda acc: acc["out"])
+
+        return let(F.substring(text, at + 1, last - at), walk)
+
+    def whole(parts: Column) -> Column:
+        ends = F.transform(parts, lambda part: F.array_max(F.transform(part, lambda s: s["end"])))
+        pieces = F.zip_with(running(ends, lambda a, b: F.greatest(a, b)), parts, marked)
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(blocks(spans), whole)).otherwise(text)

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -85,6 +86,31 @@ def brute_base_spans(text):
     return [(k, s, e) for s, _, k, e in sorted(found)]
 
 
+def brute_redact(text, spans):
+    out, at = "", 0
+    for _, start, end in spans:
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_texts_with_many_secrets(spark):
+    """Places and marks across blocks of matches, and a time that grows with the text, not with its square."""
+    rng = random.Random(5)
+    kinds = [lambda: f"password = hunter{rng.randrange(10**6)}", lambda: "AKIA" + "".join(rng.choices("ABCXYZ0189", k=18)), lambda: "%030x" % rng.getrandbits(120), lambda: "token: " + "%030x" % rng.getrandbits(120), lambda: "é😀 plain words"]
+    texts = [" ".join(rng.choice(kinds)() for _ in range(n)) for n in (1, 63, 64, 65, 128, 129, 1000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", secrets.base_spans(F.col("text")).alias("spans"))
+    for r in rows.select("*", secrets.redact(F.col("text"), F.col("spans")).alias("marked")).collect():
+        assert [tuple(s) for s in r.spans] == brute_base_spans(r.text)
+        assert r.marked == brute_redact(r.text, brute_base_spans(r.text))
+    long = spark.createDataFrame([(1, "")], "doc_id long, text string").select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.sha1(i.cast("string"))), "\n").alias("text"))
+    begun = time.monotonic()
+    r = long.select("text", secrets.base_spans(F.col("text")).alias("spans")).select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("last"), F.length(secrets.redact(F.col("text"), F.col("spans"))).alias("size")).first()
+    assert (r.n, tuple(r["last"]), r["size"]) == (100_000, ("hex", 99_999 * 41, 99_999 * 41 + 40), 100_000 * 9 - 1)
+    assert time.monotonic() - begun < 60
+
+
 def test_base_spans_equal_brute_force(spark, odd):
     rng = random.Random(2)
     parts = ["PassWord", "token", "api_key", "secret", ":", "=", " ", '"', "'", "abcdef", "AKIA", "Z9" * 9, "0f" * 13, "é😀", "x", "apikey= 'q-1.b/c'", "a1b2" * 3]
