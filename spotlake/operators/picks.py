@@ -16,7 +16,7 @@ from . import events as E
 from .images import blur
 from .shared import checkpointed
 from .statistics import kinetic_rates
-from .tables import render_histogram
+from .tables import apply_drift, picked_drift, render_histogram
 
 SHAPES = ("circle", "square", "rectangle", "polygon")
 
@@ -169,3 +169,16 @@ def find_fiducials(locs: DataFrame, width: int, height: int, frames: int, pixels
     at = spots.select((F.col("y") * width + F.col("x")).alias("pick_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     counts = picked_locs(locs, at, "circle", box / 2).groupBy("pick_id").agg(F.count("*").alias("_n"))
     return at.join(counts.where(F.col("_n") > 0.8 * frames).select("pick_id"), "pick_id", "left_semi"), box
+
+
+def undrift_from_fiducials(locs: DataFrame, width: int, height: int, frames: int, pixelsize: float = 130.0, at: tuple[DataFrame, float] | None = None, z: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows set right, drift) from the fiducials that are found, or from circular picks (pick_id, x, y) and a radius as `at`;
+    z: also along z where rows have it. Without picks, or rows in them, a ValueError."""
+    if at is None:
+        found, box = find_fiducials(locs, width, height, frames, pixelsize)
+        at = checkpointed(found), box / 2
+    picked = picked_locs(locs, at[0], "circle", at[1])
+    drift = checkpointed(picked_drift(picked if z else picked.drop("z"), frames))
+    if drift.isEmpty():
+        raise ValueError("no rows in picks to take a drift from")
+    return apply_drift(locs, drift, frames), drift

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import running_sums
+from .shared import checkpointed, running_sums
 
 NON_NEGATIVE = ("x", "y", "lpx", "lpy", "lpz", "photons", "ellipticity", "sx", "sy")
 
@@ -48,11 +49,13 @@ def merge_locs(tables: list[DataFrame], increment_frames: bool = True, increment
 
 
 def apply_drift(locs: DataFrame, drift: DataFrame, frames: int, broadcast_frames: int = 1_000_000) -> DataFrame:
-    """Subtracts the drift (frame, dx, dy) of each row's frame; a frame without drift is an error when its rows are read. The
-    table has one row a frame and is broadcast while the movie has at most broadcast_frames."""
+    """Subtracts the drift (frame, dx, dy and perhaps dz) of each row's frame, dz where rows have z; a frame without drift is an
+    error when its rows are read. The table has one row a frame and is broadcast while the movie has at most broadcast_frames."""
     side = F.broadcast(drift) if frames <= broadcast_frames else drift
     shift = lambda c: F.coalesce(c, F.raise_error(F.format_string("frame %d has no drift", "frame")).cast("double"))
-    return locs.join(side, "frame", "left").withColumns({"x": F.col("x") - shift("dx"), "y": F.col("y") - shift("dy")}).drop("dx", "dy")
+    axes = [a for a in "xyz" if a in locs.columns and f"d{a}" in drift.columns]
+    moved = {a: F.col(a) - shift(f"d{a}") for a in axes}
+    return locs.join(side, "frame", "left").withColumns(moved).drop(*[c for c in drift.columns if c != "frame"])
 
 
 def fiducial_drift(picked: DataFrame) -> DataFrame:
@@ -64,6 +67,37 @@ def fiducial_drift(picked: DataFrame) -> DataFrame:
     return rows.groupBy("frame").agg(mean("x").alias("dx"), mean("y").alias("dy"))
 
 
+def picked_drift(picked: DataFrame, frames: int) -> DataFrame:
+    """(frame, dx, dy, and dz where the picked rows have z) of every frame of the movie, from rows (pick_id, loc_id, frame, x, y).
+
+    A pick's displacement in a frame is that of its row of largest loc_id from the mean of all its rows. Picks are weighted by
+    the inverse mean square of what they differ from the plain mean of each frame; those that never differ weigh most. Frames
+    without rows lie on a line between their neighbours, those before the first or after the last take its value. No rows at
+    all give no drift. The driver sees one row a frame.
+    """
+    axes = [a for a in "xyz" if a in picked.columns]
+    rows = picked.where(F.col("frame").between(0, frames - 1)).select("pick_id", "loc_id", "frame", *axes)
+    means = rows.groupBy("pick_id").agg(*[F.avg(a).alias(f"m{a}") for a in axes])
+    latest = rows.groupBy("pick_id", "frame").agg(*[F.max_by(a, "loc_id").alias(a) for a in axes])
+    own = checkpointed(latest.join(means, "pick_id").select("pick_id", "frame", *[(F.col(a) - F.col(f"m{a}")).alias(a) for a in axes]))
+    plain = own.groupBy("frame").agg(*[F.avg(a).alias(f"p{a}") for a in axes])
+    square = lambda a: F.avg(F.pow(F.col(a) - F.col(f"p{a}"), F.lit(2.0)))
+    weights = own.join(plain, "frame").groupBy("pick_id").agg(*[(1 / F.greatest(square(a), F.lit(1e-30))).alias(f"w{a}") for a in axes])
+    drift = own.join(weights, "pick_id").groupBy("frame").agg(*[(F.sum(F.col(a) * F.col(f"w{a}")) / F.sum(F.when(F.col(a).isNotNull(), F.col(f"w{a}")))).alias(f"d{a}") for a in axes])
+    known, shape = drift.orderBy("frame").toPandas(), ", ".join(["frame long", *[f"d{a} double" for a in axes]])
+    seen = {a: known[["frame", f"d{a}"]].dropna().to_numpy(float).T for a in axes}
+    if not all(v.shape[1] for v in seen.values()):
+        return picked.sparkSession.createDataFrame([], shape)
+    values = [np.interp(np.arange(frames), *seen[a]).tolist() for a in axes]
+    return picked.sparkSession.createDataFrame(list(zip(range(frames), *values, strict=True)), shape)
+
+
+def undrift_from_picked(locs: DataFrame, picked: DataFrame, frames: int) -> tuple[DataFrame, DataFrame]:
+    """(rows set right, drift): see `picked_drift`."""
+    drift = picked_drift(picked, frames)
+    return apply_drift(locs, drift, frames), drift
+
+
 def channel_shifts(picked: DataFrame) -> DataFrame:
     """(a, b, dx, dy): mean difference of pick centres for each pair of channels."""
     centers = picked.groupBy("channel", "pick_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))

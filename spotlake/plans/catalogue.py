@@ -159,6 +159,21 @@ def fiducial_drift(spark, d):
     return tidy(T.fiducial_drift(S.picked_circles(A.locs(spark, d), A.picks(spark, d), 10.0)))
 
 
+FILLED = """, q AS (SELECT pick_id, frame, loc_id, l.x, l.y, l.z FROM locs l JOIN picks p ON (l.x - p.x) * (l.x - p.x) + (l.y - p.y) * (l.y - p.y) < 100),
+c AS (SELECT pick_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM q GROUP BY 1),
+d AS (SELECT pick_id, frame, arg_max(x, loc_id) - any_value(mx) AS x, arg_max(y, loc_id) - any_value(my) AS y, arg_max(z, loc_id) - any_value(mz) AS z FROM q JOIN c USING (pick_id) GROUP BY 1, 2),
+e AS (SELECT pick_id, x - avg(x) OVER f AS ex, y - avg(y) OVER f AS ey, z - avg(z) OVER f AS ez FROM d WINDOW f AS (PARTITION BY frame)),
+w AS (SELECT pick_id, 1 / greatest(avg(ex * ex), 1e-30) AS wx, 1 / greatest(avg(ey * ey), 1e-30) AS wy, 1 / greatest(avg(ez * ez), 1e-30) AS wz FROM e GROUP BY 1),
+v AS (SELECT frame, sum(x * wx) / sum(wx) AS dx, sum(y * wy) / sum(wy) AS dy, sum(z * wz) / sum(wz) AS dz FROM d JOIN w USING (pick_id) GROUP BY 1),
+g AS (SELECT r.frame, max(v.frame) OVER (ORDER BY r.frame ROWS UNBOUNDED PRECEDING) AS f0, min(v.frame) OVER (ORDER BY r.frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f1 FROM range(4320) r(frame) LEFT JOIN v ON r.frame = v.frame)
+SELECT g.frame, """ + ", ".join(f"round(coalesce(a.d{c} + (b.d{c} - a.d{c}) * (g.frame - f0) / nullif(f1 - f0, 0), a.d{c}, b.d{c}), 6) AS d{c}" for c in "xyz") + " FROM g LEFT JOIN v a ON a.frame = f0 LEFT JOIN v b ON b.frame = f1"
+
+
+@query(FILLED)
+def picked_drift(spark, d):
+    return tidy(T.picked_drift(S.picked_circles(A.locs(spark, d), A.picks(spark, d), 10.0), A.FRAMES))
+
+
 @query(PICKED + ", c AS (SELECT channel, pick_id, avg(x) AS x, avg(y) AS y FROM p GROUP BY ALL) SELECT a.channel AS a, b.channel AS b, round(avg(b.x - a.x), 6) AS dx, round(avg(b.y - a.y), 6) AS dy FROM c a JOIN c b ON a.pick_id = b.pick_id AND a.channel < b.channel GROUP BY ALL")
 def channel_shifts(spark, d):
     return tidy(T.channel_shifts(S.picked_circles(A.locs(spark, d), A.picks(spark, d), 10.0)))

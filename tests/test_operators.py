@@ -72,6 +72,37 @@ def test_frames_without_drift_are_an_error(spark):
         tables.apply_drift(locs, drift, 10).collect()
 
 
+def test_drift_from_picks_fills_gaps_in_three_dimensions(spark):
+    import numpy as np
+
+    from spotlake.operators import picks
+
+    rng, frames = np.random.default_rng(8), 60
+    true = np.cumsum(rng.normal(0, 0.05, (frames, 3)), axis=0) * [1, 1, 100]
+    seen = [f for f in range(frames) if f not in (0, 20, 21, 59)]
+    rows, disp = [], np.full((3, 3, frames), np.nan)
+    for k, (x, y, z) in enumerate([(10, 10, 0), (30, 20, 50), (20, 40, -80)]):
+        at = np.array([(x, y, z) + true[f] + rng.normal(0, 0.01 * (k + 1), 3) * [1, 1, 100] for f in seen])
+        rows += [(1000 * k + f, f, *map(float, p)) for f, p in zip(seen, at, strict=True)]
+        disp[k][:, seen] = (at - at.mean(axis=0)).T
+    locs = spark.createDataFrame(rows, "loc_id long, frame long, x double, y double, z double")
+    at = spark.createDataFrame([(0, 10.0, 10.0), (1, 30.0, 20.0), (2, 20.0, 40.0)], "pick_id long, x double, y double")
+    moved, drift = picks.undrift_from_fiducials(locs, 64, 64, frames, at=(at, 5.0))
+    with np.errstate(all="ignore"):
+        inner = disp[:, :, seen]
+        weight = 1 / ((inner - inner.mean(axis=0)) ** 2).mean(axis=2)
+    mean = (inner * weight[:, :, None]).sum(axis=0) / weight.sum(axis=0)[:, None]
+    want = np.array([np.interp(range(frames), seen, m) for m in mean]).T
+    assert np.array([r[1:] for r in drift.orderBy("frame").collect()]) == pytest.approx(want, abs=1e-9)
+    assert moved.columns == ["frame", "loc_id", "x", "y", "z"]
+    after = {r.loc_id: (r.x, r.y, r.z) for r in moved.collect()}
+    assert all(after[i] == pytest.approx(tuple(np.array(p) - want[f]), abs=1e-9) for i, f, *p in rows)
+    flat, one = picks.undrift_from_fiducials(locs.where("loc_id < 1000"), 64, 64, frames, at=(at, 5.0), z=False)
+    assert one.columns == ["frame", "dx", "dy"] and flat.agg({"x": "stddev"}).first()[0] < 1e-9
+    with pytest.raises(ValueError, match="no rows"):
+        picks.undrift_from_fiducials(locs.where("false"), 64, 64, frames, at=(at, 5.0))
+
+
 def test_blocks_part_crowded_cells(spark, monkeypatch):
     import numpy as np
 
