@@ -66,6 +66,32 @@ def test_greedy_links_equal_a_scan_of_whole_groups(spark):
     assert {x.loc_id: x.event for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("task_rows, round_rows", [(200_000, 5_000_000), (40, 100), (1, 120)])
+def test_links_by_ranges_of_frames(spark, task_rows, round_rows):
+    """A group with a third of all rows and ties in place and time, whole, in ranges and frame span by frame span."""
+    r = random.Random(8)
+    rows = [(1000 - i, r.randrange(2, 6) if i % 3 else 1, r.randrange(60), r.randrange(24) / 4, r.randrange(24) / 4) for i in range(600)]
+    rows += [(i, 1, 7 + i % 3, 2.0, 2.0) for i in range(2000, 2030)]
+    want = {}
+    order = sorted(rows, key=lambda x: (x[2], x[0]))
+    for first in order:
+        if first[0] in want:
+            continue
+        chain, tail = [first], first
+        want[first[0]] = None
+        for b in order:
+            if b[0] not in want and b[1] == tail[1] and 0 < b[2] - tail[2] <= 3 and math.dist(b[3:], tail[3:]) <= 0.75:
+                chain.append(b)
+                want[b[0]], tail = None, b
+        for c in chain:
+            want[c[0]] = min(x[0] for x in chain)
+    odd = [(5000, None, 3, 1.0, 1.0), (5001, 1, None, 1.0, 1.0), (5002, 1, 3, None, 1.0), (5003, 1, 3, float("nan"), 1.0), (5004, 1, 3, 1.0, float("inf"))]
+    want |= {x[0]: x[0] for x in odd}
+    got = graphs.link_near(spark.createDataFrame(rows + odd, SHAPE), 0.75, 2, task_rows, round_rows)
+    assert {x.loc_id: x.event for x in got.collect()} == want and max(list(want.values()).count(e) for e in set(want.values())) >= 5
+    assert graphs.frame_ranges([(0, 5), (1, 5), (4, 9), (5, 1), (6, 30)], 10) == [(0, 1), (4, 5), (6, 6)]
+
+
 def test_fit_recovers_time_constant(spark):
     n, t = 400, 25.0
     values = [-t * math.log(1 - (i + 0.5) / n) for i in range(n)]
