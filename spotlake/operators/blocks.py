@@ -3,11 +3,14 @@
 Cells of the radius' side make the meeting an equality join; a crowded cell is dealt into blocks by the hash of the row ids,
 so that no task holds a whole cell, however many rows it has. What leaves a task is already aggregated (counts, histogram
 bins, the k nearest), not the pairs. Row ids are integers and unique; rows without coordinates meet nothing.
+
+With a `stretch`, rows have a z as well, of which differences count `stretch` times: a radius r in the plane is r / stretch along z.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 from typing import NamedTuple
 
 import numpy as np
@@ -22,26 +25,39 @@ BLOCK = 256
 #: Pairs of rows measured at once.
 COMBINATIONS = 1 << 20
 
-OWN = [(0, 0)]
-AHEAD = [(1, -1), (1, 0), (1, 1), (0, 1)]
-AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+CELL = ["cx", "cy", "cz"]
+OWN = [(0, 0, 0)]
+
+
+def around(stretch: float | None) -> list[tuple[int, int, int]]:
+    """Steps to the cells that touch one, itself included: 9 in the plane, 27 in space."""
+    return [s for s in product((-1, 0, 1), repeat=3) if stretch is not None or s[2] == 0]
 
 
-def blocks(points: DataFrame, r: float) -> DataFrame:
-    """(cx, cy, block, rows): the rows (id, x, y) of each cell of side r, in blocks."""
-    cell = lambda c: F.floor(F.col(c) / r).cast("long")
-    rows = points.where("x is not null and y is not null").select(F.col("loc_id").cast("long").alias("id"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    crowded = rows.groupBy("cx", "cy").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
-    dealt = rows.join(small(crowded), ["cx", "cy"], "left")
+def ahead(stretch: float | None) -> list[tuple[int, int, int]]:
+    """Half of the steps to other cells: of each step and its reverse one."""
+    return [s for s in around(stretch) if s > (0, 0, 0)]
+
+
+def blocks(points: DataFrame, r: float, stretch: float | None = None, value: str | None = None) -> DataFrame:
+    """(cx, cy, cz, block, rows): the rows (id, x, y, and if asked z and a value) of each cell of side r, in blocks."""
+    axes = ["x", "y"] if stretch is None else ["x", "y", "z"]
+    cell = lambda c: F.floor(c / r).cast("long")
+    deep = F.lit(0).cast("long") if stretch is None else cell(F.col("z") * stretch)
+    given = [F.col("loc_id").cast("long").alias("id"), *axes, *([F.col(value).cast("long").alias("v")] if value else [])]
+    rows = points.where(" and ".join(f"{a} is not null" for a in axes)).select(*given, cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"), deep.alias("cz"))
+    crowded = rows.groupBy(*CELL).agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+    dealt = rows.join(small(crowded), CELL, "left")
     block = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0))
-    return dealt.groupBy("cx", "cy", block.alias("block")).agg(F.collect_list(F.struct("id", "x", "y")).alias("rows"))
+    held = F.struct("id", *axes, *(["v"] if value else []))
+    return dealt.groupBy(*CELL, block.alias("block")).agg(F.collect_list(held).alias("rows"))
 
 
-def _moved(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+def _moved(df: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
     """Each block (with the columns b, bb) once for each step, in the cell that lies there."""
-    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i == 0 and j == 0).alias("own")) for i, j in steps])
-    rows = df.select("cx", "cy", F.col("rows").alias("b"), F.col("block").alias("bb"), F.explode(places).alias("s"))
-    return rows.select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "b", "bb", F.col("s.own").alias("own"))
+    places = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip(CELL, s, strict=True)], F.lit(s == (0, 0, 0)).alias("own")) for s in steps])
+    rows = df.select(*CELL, F.col("rows").alias("b"), F.col("block").alias("bb"), F.explode(places).alias("s"))
+    return rows.select(*[(F.col(c) + F.col(f"s.{c}")).alias(c) for c in CELL], "b", "bb", F.col("s.own").alias("own"))
 
 
 def _spread(met: DataFrame) -> DataFrame:
@@ -49,43 +65,47 @@ def _spread(met: DataFrame) -> DataFrame:
     follows the work, which grows faster than the bytes that adaptive execution would go by."""
     spark = met.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return met.repartition(tasks, "cx", "cy", "ba", "bb", "own").select("a", "b", (F.col("own") & (F.col("ba") == F.col("bb"))).alias("same"))
+    return met.repartition(tasks, *CELL, "ba", "bb", "own").select("a", "b", (F.col("own") & (F.col("ba") == F.col("bb"))).alias("same"))
 
 
-def half_meetings(points: DataFrame, r: float) -> DataFrame:
+def half_meetings(points: DataFrame, r: float, stretch: float | None = None, value: str | None = None) -> DataFrame:
     """(a, b, same): blocks of one table whose rows may be less than r apart, each unordered pair of blocks once; same: both are one."""
-    made = blocks(points, r)
-    left = made.select("cx", "cy", F.col("rows").alias("a"), F.col("block").alias("ba"))
-    return _spread(left.join(_moved(made, OWN + AHEAD), ["cx", "cy"]).where("not own or ba <= bb"))
+    made = blocks(points, r, stretch, value)
+    left = made.select(*CELL, F.col("rows").alias("a"), F.col("block").alias("ba"))
+    return _spread(left.join(_moved(made, OWN + ahead(stretch)), CELL).where("not own or ba <= bb"))
 
 
-def meetings(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
+def meetings(left: DataFrame, right: DataFrame, r: float, stretch: float | None = None) -> DataFrame:
     """(a, b, same): blocks of two tables whose rows may be less than r apart; same is false."""
-    met = blocks(left, r).select("cx", "cy", F.col("rows").alias("a"), F.col("block").alias("ba")).join(_moved(blocks(right, r), AROUND), ["cx", "cy"])
+    met = blocks(left, r, stretch).select(*CELL, F.col("rows").alias("a"), F.col("block").alias("ba")).join(_moved(blocks(right, r, stretch), around(stretch)), CELL)
     return _spread(met.withColumn("own", F.lit(False)))
 
 
-def _rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ids, x, y) of a column of lists of rows."""
+def _rows(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Starts, and the values by name, of a column of lists of rows."""
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
-    return np.concatenate([[0], np.cumsum(sizes)]), *[f.to_numpy(zero_copy_only=False) for f in flat.flatten()]
+    names = [f.name for f in flat.type]
+    return np.concatenate([[0], np.cumsum(sizes)]), {n: f.to_numpy(zero_copy_only=False) for n, f in zip(names, flat.flatten(), strict=True)}
 
 
 class Near(NamedTuple):
-    """Near pairs as places i, j in the arrays of ids, and their squared distances."""
+    """Near pairs as places i, j in the arrays of ids (and values), and their squared distances."""
 
     ids_a: np.ndarray
     ids_b: np.ndarray
     i: np.ndarray
     j: np.ndarray
     d2: np.ndarray
+    values_a: np.ndarray | None = None
+    values_b: np.ndarray | None = None
 
 
-def near_pairs(batch: pa.RecordBatch, r: float, inclusive: bool) -> Iterator[Near]:
+def near_pairs(batch: pa.RecordBatch, r: float, inclusive: bool, stretch: float | None = None) -> Iterator[Near]:
     """The near pairs of rows, from about COMBINATIONS pairs at a time; those of a block with itself once."""
-    at_a, ids_a, xa, ya = _rows(batch.column(0))
-    at_b, ids_b, xb, yb = _rows(batch.column(1))
+    at_a, of_a = _rows(batch.column(0))
+    at_b, of_b = _rows(batch.column(1))
+    ids_a, ids_b, axes = of_a["id"], of_b["id"], [("x", 1.0), ("y", 1.0)] + ([] if stretch is None else [("z", stretch)])
     same = batch.column(2).to_numpy(zero_copy_only=False)
     n_a, n_b = np.diff(at_a), np.diff(at_b)
     ends, first = np.cumsum(n_a * n_b), 0
@@ -97,27 +117,42 @@ def near_pairs(batch: pa.RecordBatch, r: float, inclusive: bool) -> Iterator[Nea
         begin = np.repeat(at_b[first:stop] - at_b[first], own) - (np.cumsum(run) - run)
         i = np.repeat(np.arange(len(run)), run)
         j = np.arange(len(i)) + np.repeat(begin, run)
-        dx, dy = np.repeat(xa[a], run) - xb[b][j], np.repeat(ya[a], run) - yb[b][j]
-        d2 = dx * dx + dy * dy
+        d2 = np.zeros(len(i))
+        for c, scale in axes:
+            step = (np.repeat(of_a[c][a], run) - of_b[c][b][j]) * scale
+            d2 += step * step
         near = d2 <= r * r if inclusive else d2 < r * r
         if same[first:stop].any():
             near &= ~np.repeat(np.repeat(same[first:stop], own), run) | (ids_a[a][i] < ids_b[b][j])
-        yield Near(ids_a[a], ids_b[b], i[near], j[near], d2[near])
+        yield Near(ids_a[a], ids_b[b], i[near], j[near], d2[near], *([of_a["v"][a], of_b["v"][b]] if "v" in of_a else []))
         first = stop
 
 
-def neighbour_counts(points: DataFrame, r: float, inclusive: bool = False) -> DataFrame:
+def neighbour_counts(points: DataFrame, r: float, inclusive: bool = False, stretch: float | None = None) -> DataFrame:
     """(loc_id, n): other rows less (inclusive: at most) r away, for rows that have some."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for near in near_pairs(batch, r, inclusive):
+            for near in near_pairs(batch, r, inclusive, stretch):
                 n = np.concatenate([np.bincount(near.i, minlength=len(near.ids_a)), np.bincount(near.j, minlength=len(near.ids_b))])
                 some = n > 0
                 ids = np.concatenate([near.ids_a, near.ids_b])[some]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[some], pa.int64())], ["loc_id", "n"])
 
-    return half_meetings(points, r).mapInArrow(count, "loc_id long, n long").groupBy("loc_id").agg(F.sum("n").alias("n"))
+    return half_meetings(points, r, stretch).mapInArrow(count, "loc_id long, n long").groupBy("loc_id").agg(F.sum("n").alias("n"))
+
+
+def surpassed(points: DataFrame, value: str, r: float, stretch: float | None = None) -> DataFrame:
+    """(loc_id): rows of which another row at most r away has a larger value (an integer)."""
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for near in near_pairs(batch, r, True, stretch):
+                rise = near.values_b[near.j] - near.values_a[near.i]
+                ids = np.union1d(near.ids_a[near.i[rise > 0]], near.ids_b[near.j[rise < 0]])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["loc_id"])
+
+    return half_meetings(points, r, stretch, value).mapInArrow(lower, "loc_id long").distinct()
 
 
 def distance_counts(points: DataFrame, bin_size: float, r: float) -> DataFrame:
@@ -134,12 +169,12 @@ def distance_counts(points: DataFrame, bin_size: float, r: float) -> DataFrame:
     return half_meetings(points, r).mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
-def nearest_in_blocks(left: DataFrame, right: DataFrame, k: int, r: float, same: bool) -> DataFrame:
+def nearest_in_blocks(left: DataFrame, right: DataFrame, k: int, r: float, same: bool, stretch: float | None = None) -> DataFrame:
     """(loc_id, neighbour, d): for each meeting of two blocks, the k nearest right rows less than r from each left row."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for near in near_pairs(batch, r, False):
+            for near in near_pairs(batch, r, False, stretch):
                 i, j, d = near.i, near.ids_b[near.j], np.sqrt(near.d2)
                 if same:
                     other = near.ids_a[i] != j
@@ -151,4 +186,4 @@ def nearest_in_blocks(left: DataFrame, right: DataFrame, k: int, r: float, same:
                 best = rank < k
                 yield pa.RecordBatch.from_arrays([pa.array(near.ids_a[i[best]], pa.int64()), pa.array(j[best], pa.int64()), pa.array(d[best], pa.float64())], ["loc_id", "neighbour", "d"])
 
-    return meetings(left, right, r).mapInArrow(nearest, "loc_id long, neighbour long, d double")
+    return meetings(left, right, r, stretch).mapInArrow(nearest, "loc_id long, neighbour long, d double")

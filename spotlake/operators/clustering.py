@@ -12,56 +12,40 @@ from pyspark.sql import functions as F
 from . import events as E
 from . import graphs as G
 from . import spatial as S
+from .blocks import neighbour_counts, surpassed
 from .shared import checkpointed
 
 NENA = ("delta_a", "s", "ac", "dc", "sc")
 
 
-def _near(left: DataFrame, right: DataFrame, r: float, r_z: float | None) -> DataFrame:
-    """Pairs at most r apart, z being scaled by r / r_z if r_z is given."""
-    pairs = S.spatial_join(left, right, r, inclusive=True)
-    if r_z is None:
-        return pairs
-    dz = (F.col("l.z") - F.col("r.z")) * (r / r_z)
-    return pairs.where(F.col("d") * F.col("d") + dz * dz <= r * r)
-
-
 def cluster(locs: DataFrame, r: float, min_locs: int, r_z: float | None = None, frame_analysis: bool = False) -> DataFrame:
     """Adds `cluster` (the loc_id of a local maximum); rows outside clusters go.
 
     A row is a local maximum if it has more than min_locs rows within r, itself included, and no row within r has more. In
     order of loc_id, a maximum that is in no cluster takes all rows within r, those of earlier clusters included; one that
-    is in a cluster gives that to the rows within r that are in none. Only maxima within r of each other depend on that
-    order: they have equal counts, and their connected components are followed one by one. Clusters of fewer than min_locs
-    rows go; frame_analysis: also those that the movie's time does not spread over. r_z: radius along z, else z is ignored.
+    is in a cluster gives that to the rows within r that are in none. Clusters of fewer than min_locs rows go; frame_analysis: also
+    those that the movie's time does not spread over. r_z: radius along z, else z is ignored. Rows without coordinates are in none.
+
+    So a maximum opens a cluster unless an earlier one lies within r. One that does not is in the cluster of the last earlier
+    opener within r or, without any, in that of the first earlier maximum there; following these leads to an opener. Of
+    maxima at one place only the first has a say, as the others reach the same rows.
     """
-    space = ["loc_id", "x", "y"] + (["z"] if r_z is not None else [])
-    points = locs.select(*space)
-    counts = _near(points, points, r, r_z).groupBy(F.col("l.loc_id").alias("loc_id")).agg(F.count("*").alias("n"))
-    counted = checkpointed(points.join(counts, "loc_id"))
-    dense = counted.where(F.col("n") > min_locs)
-    tops = _near(dense, counted, r, r_z).groupBy(F.col("l.loc_id").alias("loc_id"), F.col("l.n").alias("n")).agg(F.max("r.n").alias("most")).where("n = most").select("loc_id")
-    maxima = checkpointed(points.join(tops, "loc_id", "left_semi"))
-    ties = checkpointed(_near(maxima, maxima, r, r_z).select(F.col("l.loc_id").alias("u"), F.col("r.loc_id").alias("v")).where("u <> v"))
-    roots = G.components(ties).withColumnRenamed("node", "u")
-
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        """Label and role of each maximum of a component when its turn comes."""
-        near = rows.groupby("u")["v"].apply(list).to_dict()
-        label: dict[int, int] = {}
-        out = []
-        for i in sorted(near):
-            opens = i not in label
-            own = i if opens else label[i]
-            for j in [i, *near[i]]:
-                if opens or j not in label:
-                    label[j] = own
-            out.append((i, own, opens))
-        return pd.DataFrame(out, columns=["loc_id", "cluster", "opens"])
-
-    turns = ties.join(roots, "u").groupBy("root").applyInPandas(follow, "loc_id long, cluster long, opens boolean")
-    given = maxima.join(turns, "loc_id", "left").select(*space, F.coalesce("cluster", "loc_id").alias("cluster"), F.coalesce("opens", F.lit(True)).alias("opens"))
-    reached = _near(points, checkpointed(given), r, r_z).groupBy(F.col("l.loc_id").alias("loc_id")).agg(
+    stretch = None if r_z is None else r / r_z
+    space = ["x", "y"] if r_z is None else ["x", "y", "z"]
+    points = locs.select("loc_id", *space)
+    counts = neighbour_counts(points, r, True, stretch).select("loc_id", (F.col("n") + 1).alias("n"))
+    alone = points.where(" and ".join(f"{c} is not null" for c in space)).join(counts, "loc_id", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dense = checkpointed(alone.where(F.col("n") > min_locs))
+    tops = dense.join(surpassed(dense, "n", r, stretch), "loc_id", "left_anti")
+    maxima = checkpointed(tops.groupBy(*space).agg(F.min("loc_id").alias("loc_id")))
+    ties = S.ball_join(maxima, maxima, r, stretch).select(F.col("l.loc_id").alias("u"), F.col("r.loc_id").alias("v")).where("v < u")
+    ties = checkpointed(ties)
+    late = ties.select(F.col("u").alias("v")).distinct().withColumn("late", F.lit(True))
+    led = ties.join(late, "v", "left").groupBy("u").agg(F.coalesce(F.max(F.when(F.col("late").isNull(), F.col("v"))), F.min("v")).alias("v"))
+    roots = G.components(led).select(F.col("node").alias("loc_id"), F.col("root").alias("cluster"))
+    opens = F.col("cluster").isNull() | (F.col("cluster") == F.col("loc_id"))
+    given = maxima.join(roots, "loc_id", "left").select("loc_id", *space, F.coalesce("cluster", "loc_id").alias("cluster"), opens.alias("opens"))
+    reached = S.ball_join(points, checkpointed(given), r, stretch).groupBy(F.col("l.loc_id").alias("loc_id")).agg(
         F.max(F.when(F.col("r.opens"), F.struct("r.loc_id", "r.cluster")))["cluster"].alias("last"), F.min(F.when(~F.col("r.opens"), F.struct("r.loc_id", "r.cluster")))["cluster"].alias("first")
     )
     labels = checkpointed(reached.select("loc_id", F.coalesce("last", "first").alias("cluster")))

@@ -34,6 +34,15 @@ def spatial_join(left: DataFrame, right: DataFrame, r: float, on: list[str] | No
     return a.join(b, ["_cx", "_cy", *[f"_on_{c}" for c in on]]).where(near).select("l", "r", F.sqrt(d2).alias("d"))
 
 
+def ball_join(left: DataFrame, right: DataFrame, r: float, stretch: float | None = None) -> DataFrame:
+    """Pairs of rows at most r apart, as structs l and r; with a stretch, differences in z count too, that many times."""
+    pairs = spatial_join(left, right, r, inclusive=True)
+    if stretch is None:
+        return pairs
+    dx, dy, dz = F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y"), (F.col("l.z") - F.col("r.z")) * stretch
+    return pairs.where(dx * dx + dy * dy + dz * dz <= r * r)
+
+
 def local_density(locs: DataFrame, r: float) -> DataFrame:
     """(loc_id, density): rows closer than r, itself included. loc_id is an integer and unique."""
     near = neighbour_counts(locs, r)
@@ -59,18 +68,21 @@ def next_frame_distances(locs: DataFrame, bin_size: float, d_max: float, by: lis
     return pairs.groupBy(*[F.col(f"l.{c}").alias(c) for c in by or []], F.floor(F.col("d") / bin_size).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def nearest_neighbours(left: DataFrame, right: DataFrame, k: int, r: float, same: bool = False) -> DataFrame:
+def nearest_neighbours(left: DataFrame, right: DataFrame, k: int, r: float, same: bool = False, stretch: float | None = None) -> DataFrame:
     """(loc_id, rank, neighbour, d): the k nearest right rows of each left row; ties to the smaller id. Rows have fewer ranks
     only if the right table has fewer rows.
 
     r is the radius of the first search: rows with fewer than k right rows within it search again in four times the
-    radius, the others being done. same: both are one table, and a row is not its own neighbour.
+    radius, the others being done. same: both are one table, and a row is not its own neighbour. stretch: distances are in
+    space, differences in z counting that many times (1 / pixelsize for z in nm). Rows without coordinates have and are none.
     """
-    asked, there = left.select("loc_id", "x", "y"), right.select("loc_id", "x", "y")
+    axes = ["x", "y"] if stretch is None else ["x", "y", "z"]
+    placed = lambda df: df.select("loc_id", *axes).where(" and ".join(f"{a} is not null" for a in axes))
+    asked, there = placed(left), placed(right)
     want, found = min(k, there.count() - int(same)), None
     rank = F.row_number().over(Window.partitionBy("loc_id").orderBy("d", "neighbour"))
     while True:
-        near = nearest_in_blocks(asked, there, k, r, same).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+        near = nearest_in_blocks(asked, there, k, r, same, stretch).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
         near = checkpointed(near)
         full = near.where(F.col("rank") == want).select("loc_id")
         done = near.join(full, "loc_id", "left_semi").select("loc_id", "rank", "neighbour", "d")
