@@ -32,19 +32,25 @@ def cluster(locs: DataFrame, r: float, min_locs: int, r_z: float | None = None,
     """
     stretch = None if r_z is None else r / r_z
     space = ["x", "y"] if r_z is None else ["x", "y", "z"]
-    points = locs.select("loc_id", *space)
+    points = checkpointed(locs.select("loc_id", *space).where(" and ".join(f"{c} is not null" for c in space)))
     counts = neighbour_counts(points, r, True, stretch).select("loc_id", (F.col("n") + 1).alias("n"))
-    alone = points.where(" and ".join(f"{c} is not null" for c in space)).join(counts, "loc_id", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    dense = checkpointed(alone.where(F.col("n") > min_locs))
+    if min_locs > 0:  # a row that has no other near it has a count of 1
+        dense = points.join(counts.where(F.col("n") > min_locs), "loc_id")
+    else:
+        dense = points.join(counts, "loc_id", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dense = checkpointed(dense)
     tops = dense.join(surpassed(dense, "n", r, stretch), "loc_id", "left_anti")
     maxima = checkpointed(tops.groupBy(*space).agg(F.min("loc_id").alias("loc_id")))
-    ties = S.ball_join(maxima, maxima, r, stretch).select(F.col("l.loc_id").alias("u"), F.col("r.loc_id").alias("v")).where("v < u")
-    ties = checkpointed(ties)
+    ties = checkpointed(S.ball_join(maxima, maxima, r, stretch).select(F.col("l.loc_id").alias("u"), F.col("r.loc_id").alias("v")).where("v < u"))
     late = ties.select(F.col("u").alias("v")).distinct().withColumn("late", F.lit(True))
-    led = ties.join(late, "v", "left").groupBy("u").agg(F.coalesce(F.max(F.when(F.col("late").isNull(), F.col("v"))), F.min("v")).alias("v"))
-    roots = G.components(led).select(F.col("node").alias("loc_id"), F.col("root").alias("cluster"))
-    opens = F.col("cluster").isNull() | (F.col("cluster") == F.col("loc_id"))
-    given = maxima.join(roots, "loc_id", "left").select("loc_id", *space, F.coalesce("cluster", "loc_id").alias("cluster"), opens.alias("opens"))
+    led = checkpointed(ties.join(late, "v", "left").groupBy("u").agg(F.coalesce(F.max(F.when(F.col("late").isNull(), F.col("v"))), F.min("v")).alias("v")))
+    while True:  # each round halves the way to the opener
+        onward = led.join(led.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left")
+        if onward.where("w is not null").isEmpty():
+            break
+        led = checkpointed(onward.select("u", F.coalesce("w", "v").alias("v")))
+    given = maxima.join(led.select(F.col("u").alias("loc_id"), F.col("v").alias("cluster")), "loc_id", "left")
+    given = given.select("loc_id", *space, F.coalesce("cluster", "loc_id").alias("cluster"), F.col("cluster").isNull().alias("opens"))
     reached = S.ball_join(points, checkpointed(given), r, stretch).groupBy(F.col("l.loc_id").alias("loc_id")).agg(
         F.max(F.when(F.col("r.opens"), F.struct("r.loc_id", "r.cluster")))["cluster"].alias("last"), F.min(F.when(~F.col("r.opens"), F.struct("r.loc_id", "r.cluster")))["cluster"].alias("first")
     )

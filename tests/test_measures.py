@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotlake.operators import graphs, images, statistics
+from spotlake.operators import graphs, images, spatial, statistics
 from spotlake.plans import catalogue
 from spotlake.sources import exports
 
@@ -66,6 +66,24 @@ def test_greedy_links_equal_a_scan_of_whole_groups(spark):
     assert {x.loc_id: x.event for x in got.collect()} == want
 
 
+def test_space_has_its_own_radius(spark):
+    r = random.Random(5)
+    rows = [(i, r.randrange(20) / 2, r.randrange(20) / 2, float(r.randrange(12) * 50)) for i in range(220)] + [(300 + i, 1.0, 1.0, 100.0) for i in range(3)]
+    df = spark.createDataFrame([*rows, (400, 1.0, 1.0, None), (401, None, 1.0, 5.0)], "loc_id long, x double, y double, z double")
+    space = lambda a, b: (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 + ((a[3] - b[3]) / 100) ** 2
+    near = {a[0]: [b[0] for b in rows if space(a, b) <= 1.0] for a in rows}
+    cores = {i for i, n in near.items() if len(n) >= 4}
+    label = {i: i for i in cores}
+    for _ in range(len(cores)):
+        label = {i: min(label[j] for j in near[i] if j in cores) for i in cores}
+    want = label | {i: min(label[j] for j in near[i] if j in cores) for i in near if i not in cores and cores & set(near[i])}
+    assert {x.loc_id: x.cluster for x in graphs.dbscan(df, 1.0, 4, r_z=100.0).collect()} == want and len(set(want.values())) > 3
+    got = {}
+    for x in spatial.nearest_neighbours(df, df, 3, 0.4, same=True, stretch=0.01).orderBy("rank").collect():
+        got.setdefault(x.loc_id, []).append((x.neighbour, round(x.d, 9)))
+    assert got == {a[0]: [(i, round(d**0.5, 9)) for d, i in sorted((round(space(a, b), 9), b[0]) for b in rows if b[0] != a[0])[:3]] for a in rows}
+
+
 @pytest.mark.parametrize("task_rows, round_rows", [(200_000, 5_000_000), (40, 100), (1, 120)])
 def test_links_by_ranges_of_frames(spark, task_rows, round_rows):
     """A group with a third of all rows and ties in place and time, whole, in ranges and frame span by frame span."""
