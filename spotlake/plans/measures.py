@@ -30,11 +30,38 @@ def clusters(spark, d):
     return M.combine_clusters(A.locs(spark, d).withColumnRenamed("channel", "cluster"))
 
 
-@query()
+def density_sql(r: float, samples: int, least: int, stretch: float | None = None) -> str:
+    """Density clusters: the smallest core that each core reaches, then rows near a core."""
+    deep = "" if stretch is None else f" + ((p.z - q.z) * {stretch}::DOUBLE) * ((p.z - q.z) * {stretch}::DOUBLE)"
+    return f""", p AS (SELECT loc_id, x, y, z, floor(x / {r}::DOUBLE) AS cx, floor(y / {r}::DOUBLE) AS cy FROM locs),
+  q AS (SELECT loc_id, x, y, z, cx + i AS cx, cy + j AS cy FROM p, (VALUES (-1), (0), (1)) s(i), (VALUES (-1), (0), (1)) t(j)),
+  near AS MATERIALIZED (SELECT p.loc_id AS i, q.loc_id AS j FROM p JOIN q USING (cx, cy) WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y){deep} <= {r}::DOUBLE * {r}::DOUBLE),
+  cores AS MATERIALIZED (SELECT i FROM near GROUP BY i HAVING count(*) >= {samples}),
+  edges AS MATERIALIZED (SELECT i, j FROM near WHERE i IN (SELECT i FROM cores) AND j IN (SELECT i FROM cores)),
+  roots AS MATERIALIZED (SELECT i, min(c) AS c FROM (WITH RECURSIVE w AS (SELECT i, i AS c FROM cores UNION SELECT e.j, w.c FROM w JOIN edges e ON e.i = w.i WHERE w.c < e.j) SELECT i, c FROM w) GROUP BY i),
+  found AS (SELECT i AS loc_id, c AS cluster FROM roots UNION ALL SELECT near.i, min(c) FROM near JOIN roots ON roots.i = near.j WHERE near.i NOT IN (SELECT i FROM cores) GROUP BY near.i)
+  SELECT loc_id, cluster FROM found QUALIFY count(*) OVER (PARTITION BY cluster) >= {least}"""
+
+
+@query(density_sql(0.6, 4, 5))
 def dbscan(spark, d):
     return G.dbscan(A.locs(spark, d), 0.6, 4, min_locs=5).select("loc_id", "cluster")
 
 
+@query(density_sql(1.5, 4, 5, 1.5 / 150))
+def dbscan_3d(spark, d):
+    return G.dbscan(A.locs(spark, d), 1.5, 4, min_locs=5, r_z=150.0).select("loc_id", "cluster")
+
+
+SPACE = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + ((a.z - b.z) * {s}::DOUBLE) * ((a.z - b.z) * {s}::DOUBLE))".format(s=1 / A.PIXELSIZE)
+
+
+@query(f"SELECT loc_id, CAST(rank AS BIGINT) AS rank, u.neighbour, round(u.d, 6) AS d FROM (SELECT loc_id, unnest(best) AS u, generate_subscripts(best, 1) AS rank FROM (SELECT a.loc_id, min({{'d': {SPACE}, 'neighbour': b.loc_id}}, 2) AS best FROM locs a JOIN locs b ON a.loc_id <> b.loc_id GROUP BY a.loc_id))")
+def nearest_neighbours_3d(spark, d):
+    rows = A.locs(spark, d)
+    return tidy(S.nearest_neighbours(rows, rows, 2, 2.0, same=True, stretch=1 / A.PIXELSIZE))
+
+
 @query()
 def link_near(spark, d):
     return G.link_near(A.locs(spark, d), 20.0, 36).select("loc_id", "event")
