@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: infinite or NaN where b is 0, which Spark's own division refuses."""
+    return F.when(b == 0, a * F.lit(math.inf)).otherwise(a / b)
+
+
 def localization_precision(photons: Column, s: Column, s_orth: Column, bg: Column, em: bool = False) -> Column:
     """Cramer-Rao bound of a least-squares position; doubled variance for an electron-multiplying camera."""
     sa2, sb2 = s * s + F.lit(1 / 12), s_orth * s_orth + F.lit(1 / 12)

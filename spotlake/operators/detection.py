@@ -357,8 +357,8 @@ def localize_3d(movie: DataFrame, minimum: float, box: int, cx: list[float], cy:
 def likelihood_width_uncertainty(sigma, photons, bg):
     """Standard error of a width fitted by likelihood, as a column."""
     sa2 = sigma * sigma + F.lit(1 / 12)
-    tau = F.lit(2 * math.pi) * sa2 * bg / photons
-    return F.sqrt(sigma * sigma / (4 * photons) * (1 + 8 * tau + F.sqrt(8 * tau / (1 + 2 * tau))))
+    tau = X.ratio(F.lit(2 * math.pi) * sa2 * bg, photons)
+    return F.sqrt(X.ratio(sigma * sigma, 4 * photons) * (1 + 8 * tau + F.sqrt(X.ratio(8 * tau, 1 + 2 * tau))))
 
 
 def calibration_means(locs: DataFrame) -> DataFrame:
