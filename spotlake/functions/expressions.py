@@ -17,7 +17,7 @@ def ratio(a: Column, b: Column) -> Column:
 def localization_precision(photons: Column, s: Column, s_orth: Column, bg: Column, em: bool = False) -> Column:
     """Cramer-Rao bound of a least-squares position; doubled variance for an electron-multiplying camera."""
     sa2, sb2 = s * s + F.lit(1 / 12), s_orth * s_orth + F.lit(1 / 12)
-    v = sa2 * (F.lit(16 / 9) + F.lit(8 * math.pi) * F.sqrt(sa2 * sb2) * bg / photons) / photons
+    v = ratio(sa2 * (F.lit(16 / 9) + ratio(F.lit(8 * math.pi) * F.sqrt(sa2 * sb2) * bg, photons)), photons)
     return F.sqrt(v * F.lit(2.0 if em else 1.0))
 
 

@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from spotlake.functions import expressions as X
 from spotlake.operators import detection as D
 
 
@@ -16,3 +17,8 @@ def column(spark, expression):
 def test_likelihood_width_of_rows_without_photons(spark):
     some, none, unknown = column(spark, lambda sx, sy, photons, bg: D.likelihood_width_uncertainty(sx, photons, bg))
     assert 0 < some < 1 and math.isnan(none) and unknown is None
+
+
+def test_position_of_rows_without_photons(spark):
+    some, none, unknown = column(spark, lambda sx, sy, photons, bg: X.localization_precision(photons, sx, sy, bg))
+    assert 0 < some < 1 and none == math.inf and unknown is None
