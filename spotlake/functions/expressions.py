@@ -24,8 +24,8 @@ def localization_precision(photons: Column, s: Column, s_orth: Column, bg: Colum
 def sigma_uncertainty(sigma: Column, sigma_orth: Column, photons: Column, bg: Column) -> Column:
     """Standard error of a fitted spot width."""
     sa2, sb2 = sigma * sigma + F.lit(1 / 12), sigma_orth * sigma_orth + F.lit(1 / 12)
-    v = sa2 * sa2 / photons * (F.lit(512 / 81) + F.lit(64 * math.pi / 3) * F.sqrt(sa2 * sb2) * bg / photons)
-    return F.sqrt(v / (F.lit(4.0) * sigma * sigma))
+    v = ratio(sa2 * sa2, photons) * (F.lit(512 / 81) + ratio(F.lit(64 * math.pi / 3) * F.sqrt(sa2 * sb2) * bg, photons))
+    return F.sqrt(ratio(v, F.lit(4.0) * sigma * sigma))
 
 
 def polynomial(coefficients: list[float], x: Column) -> Column:

@@ -22,3 +22,8 @@ def test_likelihood_width_of_rows_without_photons(spark):
 def test_position_of_rows_without_photons(spark):
     some, none, unknown = column(spark, lambda sx, sy, photons, bg: X.localization_precision(photons, sx, sy, bg))
     assert 0 < some < 1 and none == math.inf and unknown is None
+
+
+def test_width_of_rows_without_photons(spark):
+    some, none, unknown = column(spark, lambda sx, sy, photons, bg: X.sigma_uncertainty(sx, sy, photons, bg))
+    assert 0 < some < 1 and none == math.inf and unknown is None
