@@ -28,8 +28,9 @@ def _peaks(images: np.ndarray, template: np.ndarray) -> list[tuple[float, int, i
     return [(float(f[k]), *divmod(int(k), side)) for f, k in zip(found, at)]
 
 
-def best_fit(x: np.ndarray, y: np.ndarray, angles: np.ndarray, template: np.ndarray, scale: float, reach: float) -> tuple[float, float, float]:
-    """(angle, dx, dy): of the angles the first whose turned rows correlate best with the template, and how far they then lie off."""
+def best_fit(x: np.ndarray, y: np.ndarray, angles: np.ndarray, template: np.ndarray, scale: float, reach: float, n: np.ndarray | None = None) -> tuple[float, float, float]:
+    """(angle, dx, dy): of the angles the first whose turned rows correlate best with the template, and how far they then lie off.
+    n: the number of rows at each place, else one."""
     side, best = len(template), (0.0, 0.0, 0.0, 0.0)
     some = max(1, min(CELLS // (side * side), CELLS // max(len(x), 1)))
     for first in range(0, len(angles), some):
@@ -39,7 +40,8 @@ def best_fit(x: np.ndarray, y: np.ndarray, angles: np.ndarray, template: np.ndar
         inside = (np.abs(px) < reach) & (np.abs(py) < reach)
         row, column = ((scale * (p + reach)).astype(np.int64) for p in (py, px))
         cell = (np.arange(len(part))[:, None] * side + row) * side + column
-        images = np.bincount(cell[inside], minlength=len(part) * side * side).reshape(-1, side, side)
+        rows = None if n is None else np.broadcast_to(n, cell.shape)[inside]
+        images = np.bincount(cell[inside], rows, minlength=len(part) * side * side).reshape(-1, side, side)
         for angle, (value, i, j) in zip(part, _peaks(images, template)):
             if value > best[0]:
                 best = (value, float(angle), math.ceil(j - side / 2) / scale, math.ceil(i - side / 2) / scale)
@@ -56,54 +58,65 @@ def average_particles(locs: DataFrame, pixelsize: float, display: float = 5.0, r
     root mean square distance from the middle; each group is turned by every angle that moves its edge by a pixel and goes to the
     angle and shift whose correlation with that image is greatest. Then all rows are centred again. The image is the sum of counts of
     rows by pixel; it and the groups' angles and shifts are all that is collected or sent, and at most SIDE pixels wide. A group of more
-    than `limit` rows is drawn by Spark, angle by angle. Rows with null x, y or group go; groups of one row stay where they are.
-    Equal values go to the first angle. An empty table gives none.
+    than `limit` places is drawn by Spark, angle by angle. Rows with null x, y or group go; groups of one row stay where they are.
+    Equal values go to the first angle. An empty table gives none. Rows of a group at one place stay together, so the rounds turn
+    and move places with the number of their rows; the rows, with their other columns, get their place's x, y at the end.
     """
     others = [c for c in locs.columns if c not in ("x", "y")]
     rows = locs.select(*others, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=["x", "y", "group"])
-    means = rows.groupBy("group").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
-    rows = checkpointed(rows.join(small(checkpointed(means)), "group").withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")}).drop("_mx", "_my"))
-    square = rows.agg(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).first()[0]
+    rows = checkpointed(rows)
+    sums = [(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"_m{c}") for c in ("x", "y")]
+    places = checkpointed(rows.groupBy("group", "x", "y").agg(F.count("*").alias("n")))
+    means = checkpointed(places.groupBy("group").agg(*sums))
+    spots = places.withColumnsRenamed({"x": "_x", "y": "_y"}).join(small(means), "group").withColumns({"x": F.col("_x") - F.col("_mx"), "y": F.col("_y") - F.col("_my")})
+    spots = checkpointed(spots.drop("_mx", "_my"))
+    square = spots.agg(F.sum((F.col("x") * F.col("x") + F.col("y") * F.col("y")) * F.col("n")) / F.sum("n")).first()[0]
     if not square:
-        return rows.select(*locs.columns)
+        return _placed(rows, spots).select(*locs.columns)
     reach, scale = 2 * math.sqrt(square), pixelsize / display
     side = math.ceil(scale * 2 * reach)
     if side > SIDE:
         raise ValueError(f"the image would be {side} pixels wide; take larger display pixels")
     angles = np.arange(0, 2 * math.pi, math.asin(min(1.0, 1 / (scale * reach))))
-    large = checkpointed(rows.groupBy("group").count().where(F.col("count") > limit).select("group"))
+    large = checkpointed(spots.groupBy("group").count().where(F.col("count") > limit).select("group"))
     for _ in range(rounds):
         pixel = lambda c: F.floor(F.lit(scale) * (F.col(c) + reach)).cast("int")
         inside = (F.abs(F.col("x")) < reach) & (F.abs(F.col("y")) < reach)
         image = np.zeros((side, side))
-        for r in rows.where(inside).groupBy(pixel("y").alias("i"), pixel("x").alias("j")).count().collect():
-            image[r["i"], r["j"]] = r["count"]
+        for r in spots.where(inside).groupBy(pixel("y").alias("i"), pixel("x").alias("j")).agg(F.sum("n").alias("n")).collect():
+            image[r["i"], r["j"]] = r["n"]
         template = np.conj(np.fft.rfft2(image))
 
         def fit(own: pd.DataFrame) -> pd.DataFrame:
-            found = best_fit(own["x"].to_numpy(), own["y"].to_numpy(), angles, template, scale, reach)  # noqa: B023
+            found = best_fit(own["x"].to_numpy(), own["y"].to_numpy(), angles, template, scale, reach, own["n"].to_numpy())  # noqa: B023
             return pd.DataFrame([[own["group"].iloc[0], *found]], columns=["group", "angle", "dx", "dy"])
 
-        fits = rows.join(F.broadcast(large), "group", "left_anti").select(F.col("group").cast("long").alias("group"), "x", "y").groupBy("group").applyInPandas(fit, FIT)
+        fits = spots.join(F.broadcast(large), "group", "left_anti").select(F.col("group").cast("long").alias("group"), "x", "y", "n").groupBy("group").applyInPandas(fit, FIT)
         if not large.isEmpty():
-            fits = fits.unionByName(_fit_large(rows.join(F.broadcast(large), "group", "left_semi"), angles, template, scale, reach))
+            fits = fits.unionByName(_fit_large(spots.join(F.broadcast(large), "group", "left_semi"), angles, template, scale, reach))
         fits = checkpointed(fits.select("group", *[F.col(c).alias(f"_{c}") for c in ("angle", "dx", "dy")]))
         x = F.cos("_angle") * F.col("x") - F.sin("_angle") * F.col("y") - F.col("_dx")
         y = F.sin("_angle") * F.col("x") + F.cos("_angle") * F.col("y") - F.col("_dy")
-        moved = checkpointed(rows.join(small(fits), "group").withColumns({"x": x, "y": y}).drop("_angle", "_dx", "_dy"))
-        mx, my = moved.agg(F.avg("x"), F.avg("y")).first()
-        rows = moved.withColumns({"x": F.col("x") - mx, "y": F.col("y") - my})
-    return rows.select(*locs.columns)
+        moved = checkpointed(spots.join(small(fits), "group").withColumns({"x": x, "y": y}).drop("_angle", "_dx", "_dy"))
+        mx, my = moved.agg(*sums).first()
+        spots = moved.withColumns({"x": F.col("x") - mx, "y": F.col("y") - my})
+    return _placed(rows, spots).select(*locs.columns)
+
+
+def _placed(rows: DataFrame, spots: DataFrame) -> DataFrame:
+    """rows with the x, y that their place (group, _x, _y) has come to."""
+    came = spots.select("group", "_x", "_y", F.col("x").alias("_nx"), F.col("y").alias("_ny"))
+    return rows.withColumnsRenamed({"x": "_x", "y": "_y"}).join(came.hint("merge"), ["group", "_x", "_y"]).withColumnsRenamed({"_nx": "x", "_ny": "y"})
 
 
 def _fit_large(rows: DataFrame, angles: np.ndarray, template: np.ndarray, scale: float, reach: float) -> DataFrame:
     """best_fit for groups whose images Spark counts, a task for each group and angle."""
     side = len(template)
     turns = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(math.cos(a))).alias("c"), F.lit(float(math.sin(a))).alias("s")) for k, a in enumerate(angles)]))
-    turned = rows.select(F.col("group").cast("long").alias("group"), "x", "y", turns.alias("t"))
-    turned = turned.select("group", "t.k", (F.col("t.c") * F.col("x") - F.col("t.s") * F.col("y")).alias("x"), (F.col("t.s") * F.col("x") + F.col("t.c") * F.col("y")).alias("y"))
+    turned = rows.select(F.col("group").cast("long").alias("group"), "x", "y", "n", turns.alias("t"))
+    turned = turned.select("group", "t.k", "n", (F.col("t.c") * F.col("x") - F.col("t.s") * F.col("y")).alias("x"), (F.col("t.s") * F.col("x") + F.col("t.c") * F.col("y")).alias("y"))
     pixel = lambda c: F.floor(F.lit(scale) * (F.col(c) + reach)).cast("int")
-    counts = turned.where((F.abs(F.col("x")) < reach) & (F.abs(F.col("y")) < reach)).groupBy("group", "k", pixel("y").alias("i"), pixel("x").alias("j")).count()
+    counts = turned.where((F.abs(F.col("x")) < reach) & (F.abs(F.col("y")) < reach)).groupBy("group", "k", pixel("y").alias("i"), pixel("x").alias("j")).agg(F.sum("n").alias("count"))
 
     def peak(own: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((side, side))

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spotlake.operators import averaging, similar
 
@@ -138,3 +139,17 @@ def test_average_of_odd_tables(spark):
     locs = spark.createDataFrame([(1, 1, 5.0, 5.0), (2, None, 1.0, 1.0), (3, 1, None, 1.0)], "loc_id long, group long, x double, y double")
     assert [(r.loc_id, r.x, r.y) for r in averaging.average_particles(locs, 130.0).collect()] == [(1, 0.0, 0.0)]
     assert averaging.average_particles(locs.where("false"), 130.0).count() == 0
+
+
+def test_copies_are_averaged_as_one_place(spark, monkeypatch):
+    rows = particles(3, groups=4, n=24)
+    locs = spark.createDataFrame(rows, "loc_id long, group long, x double, y double, k int")
+    copies = locs.crossJoin(spark.range(7)).withColumn("loc_id", locs.loc_id * 7 + F.col("id")).drop("id")
+    alone = {r.loc_id: (r.x, r.y) for r in averaging.average_particles(locs, 130.0, 10.0, 2).collect()}
+    sizes, kept = [], averaging.checkpointed
+    monkeypatch.setattr(averaging, "checkpointed", lambda df: (out := kept(df), sizes.append(out.count()))[0])
+    for limit in (1000, 5):
+        got = averaging.average_particles(copies, 130.0, 10.0, 2, limit).collect()
+        assert len(got) == 7 * len(rows)
+        assert all(math.dist((r.x, r.y), alone[r.loc_id // 7]) < 1e-9 for r in got)
+    assert sorted(sizes)[-2:] == [7 * len(rows)] * 2 and sorted(sizes)[-3] == len(rows)  # only once are all rows written
