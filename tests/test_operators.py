@@ -120,3 +120,12 @@ def test_blocks_part_crowded_cells(spark, monkeypatch):
     for i in range(300):
         order = sorted((math.sqrt(d2[i, j]), j) for j in range(300) if j != i)[:3]
         assert [near[i, k + 1] for k in range(3)] == [(j, d) for d, j in order]
+
+
+def test_copies_in_consecutive_frames_are_met_as_one(spark, monkeypatch):
+    rows = [(k, 1, k % 2, float(k % 4), 0.0) for k in range(4000)] + [(4000, None, 0, 0.0, 0.0), (4001, 1, 0, None, 0.0)]
+    locs = spark.createDataFrame(rows, "loc_id long, group long, frame long, x double, y double")
+    met, join = [], spatial.spatial_join
+    monkeypatch.setattr(spatial, "spatial_join", lambda left, right, *a, **b: (met.append(left.count()), join(left, right, *a, **b))[1])
+    found = {r.bin: r.n for r in spatial.next_frame_distances(locs, 1.0, 2.0).collect()}
+    assert found == {1: 3_000_000} and met[0] <= 6  # x 0, 2 in frame 0 and 1, 3 in frame 1
