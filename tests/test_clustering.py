@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from spotlake.operators import clustering as C
+from spotlake.operators import columns as K
 from spotlake.operators import graphs as G
 
 
@@ -69,3 +70,28 @@ def test_hulls_and_precision(spark):
 def test_recorded_filters(spark):
     ranges, dropped, missing = C.filter_steps([{"Generated by": "X Filter", "a": [0, 5], "b": [1, 2]}, {"Generated by": "X Filter", "a": [2, 9], "Removed columns": ["c", "d"]}, {"a": [8, 9]}], ["a", "c"])
     assert ranges == {"a": (2.0, 5.0)} and dropped == ["c"] and missing == ["b", "d"]
+
+
+@pytest.mark.parametrize("cells, part", [(1 << 22, 500_000), (0, 500_000), (1 << 22, 40)])
+def test_neighbours_by_columns_equal_a_scan(spark, cells, part, monkeypatch):
+    rng = np.random.default_rng(7)
+    xy = np.round(rng.exponential(4.0, (60, 2)), 1) - 3
+    rows = [(k, *map(float, xy[k % 60]), float(rng.integers(-9, 9) if k % 10 else rng.normal()), int(rng.integers(1, 5))) for k in range(900)]
+    points = spark.createDataFrame(rows, "loc_id long, x double, y double, z double, n long")
+    t = np.array(rows)
+    near = ((t[:, None, 1] - t[:, 1]) ** 2 + (t[:, None, 2] - t[:, 2]) ** 2 + ((t[:, None, 3] - t[:, 3]) * 0.5) ** 2) <= 4.0
+    own = {c: t[:, k].astype(np.int64 if c == "v" else float) for k, c in ((1, "x"), (2, "y"), (3, "z"), (4, "v"))}
+    assert (K.around_rows(own, own, 2.0, 0.5, False, cells) == near @ t[:, 4]).all()
+    assert (K.around_rows(own, own, 2.0, 0.5, True, cells) == np.where(near, t[:, 4], -1).max(axis=1)).all()
+    if cells:
+        assert {r.loc_id: r.others for r in K.sums_around(points, 2.0, 0.5, part).collect()} == dict(enumerate((near @ t[:, 4] - 1).tolist()))
+        most = np.where(near, t[:, 4], -1).max(axis=1)
+        assert {r.loc_id for r in K.surpassed_around(points, "n", 2.0, 0.5, part).collect()} == set(np.flatnonzero(most > t[:, 4]).tolist())
+
+
+def test_rows_dealt_in_space_grow_with_the_rows(spark, monkeypatch):
+    met, deal = [], K._tiles
+    monkeypatch.setattr(K, "_tiles", lambda *a: (out := deal(*a), met.append(out.count()))[0])
+    rows = [(i, float(i % 7), float(i % 5), float(i)) for i in range(3500)]  # 100 depths a place of the plane
+    C.cluster(spark.createDataFrame(rows, "loc_id long, x double, y double, z double"), 3.0, 4, r_z=150.0).count()
+    assert met and all(n <= 4 * len(rows) for n in met)
