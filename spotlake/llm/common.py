@@ -114,19 +114,17 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Returns (node, root): every node that has a link, with the smallest node it reaches. Each step is a grouped
     minimum and a join; the number of steps grows with the logarithm of the longest chain. Rows with a null end and
-    links of a node with itself are ignored. Each step's table is written to the shared folder.
+    links of a node with itself are ignored. Each step's table is written to the shared folder, so that a plan holds
+    one step and a table is read by few stages of it.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     was, small = None, materialize(edges, "links")
     while True:
-        both = small.unionAll(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = small.select(ends(("u", "v"), ("v", "u"))).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(least, "u")
-        step = step.select("u", F.col("m").alias("v")).unionAll(step.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = materialize(step.distinct(), "links")
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
+        small = materialize(small_star(large), "links")
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == was:
             break
@@ -134,3 +132,14 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
         small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def ends(*pairs: tuple[str, str]) -> Column:
+    """`e`: a row (u, v) for each of the pairs of columns."""
+    return F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs])).alias("e")
+
+
+def small_star(large: DataFrame) -> DataFrame:
+    """Links (u, v), u > v, after each u and its smaller neighbours are linked to the smallest of these."""
+    step = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+    return step.select(ends(("u", "m"), ("v", "m"))).select("e.*").where("u <> v").distinct()

@@ -398,6 +398,17 @@ def test_components_of_chains(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_components_take_few_stages(spark):
+    context = spark.sparkContext
+    context.setJobGroup("few-stages", "components of a chain")
+    try:
+        assert common.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), "a", "b").count() == 41
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    assert sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("few-stages")) <= 130  # a plan that repeats its steps has 168
+
+
 def test_quality_on_held_out_labels(spark, odd):
     got = queries.op9_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
