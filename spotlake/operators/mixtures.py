@@ -1,14 +1,14 @@
 """Molecules inside clusters: mixtures of Gaussians whose widths are bounded by the localization precision.
 
 What a step of the fit needs of the rows are sums for each component. A cluster of up to ROWS rows is one task, which sums over its
-arrays. A larger one is first fitted on a sample of its rows by the same code; the models found are then fitted on by sums over all
-rows, which Spark takes, for all such clusters and models at once. Only models, of at most MOST components, reach the driver.
+arrays. Of larger ones, rows to start from are drawn and sums taken over all rows by Spark, for all such clusters and models at once.
+The number of components has no bound but that each needs enough rows, and only models and drawn rows reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .shared import checkpointed
 
-#: Rows of a cluster that one task fits; components of a mixture.
-ROWS, MOST = 100_000, 100
+#: Rows of a cluster that one task fits; densities (rows by components) that are held at once.
+ROWS, CELLS = 100_000, 1 << 22
 #: Added to variances, steps of a fit, the change of the mean log likelihood at which it stands still, frames without a row in an event.
 FLOOR, STEPS, STILL, GAP = 1e-6, 100, 1e-3, 3
 
@@ -60,8 +60,11 @@ class Sums(NamedTuple):
 
 def log_density(x: np.ndarray, model: Model) -> np.ndarray:
     """Log of weight times density, rows x components."""
-    gap = x[:, None, :] - model.mean[None]
-    return np.log(model.weight) - 0.5 * (np.log(2 * math.pi * model.variance).sum(axis=1) + (gap * gap / model.variance).sum(axis=2))
+    far = np.zeros((len(x), len(model.weight)))
+    for k in range(x.shape[1]):
+        gap = x[:, k, None] - model.mean[:, k]
+        far += gap * gap / model.variance[:, k]
+    return np.log(model.weight) - 0.5 * (np.log(2 * math.pi * model.variance).sum(axis=1) + far)
 
 
 def shares(x: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +75,18 @@ def shares(x: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return whole, np.exp(each - whole[:, None])
 
 
+def _blocks(n: int, components: int) -> Iterator[slice]:
+    size = max(1, CELLS // components)
+    return (slice(k, k + size) for k in range(0, n, size))
+
+
 def sums(x: np.ndarray, precision: np.ndarray, model: Model) -> Sums:
-    whole, share = shares(x, model)
-    return Sums(len(x), whole.sum(), share.sum(axis=0), share.T @ x, share.T @ (x * x), share.T @ precision)
+    total = None
+    for some in _blocks(len(x), len(model.weight)):
+        own, (whole, share) = x[some], shares(x[some], model)
+        s = Sums(len(own), whole.sum(), share.sum(axis=0), share.T @ own, share.T @ (own * own), share.T @ precision[some])
+        total = s if total is None else Sums(*[a + b for a, b in zip(total, s)])
+    return total
 
 
 def updated(s: Sums, rules: Rules) -> Model:
@@ -101,13 +113,15 @@ def updated(s: Sums, rules: Rules) -> Model:
 
 def well_apart(model: Model) -> bool:
     """Whether along the line between any two components the density of both has a dip: then they are two to the eye."""
-    t = np.linspace(0, 1, 40)[:, None]
-    for i in range(len(model.weight)):
-        for j in range(i + 1, len(model.weight)):
-            two = Model(*[a[[i, j]] for a in model])
-            density = np.exp(log_density(two.mean[0] + t * (two.mean[1] - two.mean[0]), two)).sum(axis=1)
-            if not ((density[1:-1] < density[:-2]) & (density[1:-1] < density[2:])).any():
-                return False
+    t = np.linspace(0, 1, 40)[:, None, None]
+    scale = np.log(model.weight) - 0.5 * np.log(2 * math.pi * model.variance).sum(axis=1)
+    for i in range(len(model.weight) - 1):
+        step = model.mean[i + 1 :] - model.mean[i]
+        one = scale[i] - 0.5 * ((t * step) ** 2 / model.variance[i]).sum(axis=2)
+        other = scale[i + 1 :] - 0.5 * (((1 - t) * step) ** 2 / model.variance[i + 1 :]).sum(axis=2)
+        density = np.exp(one) + np.exp(other)
+        if not ((density[1:-1] < density[:-2]) & (density[1:-1] < density[2:])).any(axis=0).all():
+            return False
     return len(model.weight) > 0
 
 
@@ -148,29 +162,29 @@ def criterion(log: float, n: float, model: Model) -> float:
     return -2 * log + (k * (d + d - 1) + k - 1) * math.log(n)
 
 
-def candidates(x: np.ndarray, precision: np.ndarray, rules: Rules, n: int | None = None) -> list[tuple[float, Model]]:
-    """Models of 1, 2, ... components with their criteria, as long as these fall; those whose components lie too close are left out.
-    n: rows that the given ones stand for."""
+def best_start(tries: list[tuple[Model, float]], n: int, rules: Rules) -> tuple[float, Model] | None:
+    """Of models from several starts, with their mean log likelihoods, the likeliest whose components are apart, and its criterion."""
+    for model, log in sorted(tries, key=lambda t: -t[1]):
+        if well_apart(Model(*[a[valid(model, n, rules)] for a in model])):
+            return criterion(log * n, n, model), model
+    return None
+
+
+def candidates(x: np.ndarray, precision: np.ndarray, rules: Rules) -> list[tuple[float, Model]]:
+    """Models of 1, 2, ... components with their criteria, as long as these fall; those whose components lie too close are left out."""
     found, best, idle, k = [], math.inf, 0, 1
-    most = min(MOST, (n or len(x)) // rules.least)
     total = lambda model: sums(x, precision, model)
-    while k <= most and k <= len(x) and idle < rules.rounds:
+    while k <= len(x) // rules.least and idle < rules.rounds:
         tries = []
         for start in range(max(k, 3)):
             mean = seeds(x, k, np.random.default_rng([42, k, start]))
             width = np.full((k, x.shape[1]), np.clip(precision.mean(axis=0) if rules.local else rules.high, FLOOR, None) ** 2)
-            model, log = fitted(total, Model(np.full(k, 1 / k), mean, width), rules)
-            ok = valid(model, n or len(x), rules)
-            if well_apart(Model(*[a[ok] for a in model])):
-                tries.append((log, model))
-        if tries:
-            log, model = max(tries, key=lambda t: t[0])
-            value = criterion(log * (n or len(x)), n or len(x), model)
-            found.append((value, model))
-            idle = 0 if value < best else idle + 1
-            best = min(best, value)
-        else:
-            idle += 1
+            tries.append(fitted(total, Model(np.full(k, 1 / k), mean, width), rules))
+        one = best_start(tries, len(x), rules)
+        if one:
+            found.append(one)
+        idle = 0 if one and one[0] < best else idle + 1
+        best = min(best, one[0]) if one else best
         k += 1
     return found
 
@@ -200,18 +214,22 @@ MOLECULE = "group_input long, molecule int, frame double, std_frame double, x do
 
 def row_sums(rows: pd.DataFrame, model: Model, keep: np.ndarray, rules: Rules) -> np.ndarray:
     """For each kept component: shares, and their sums with frame, its square, the log density and precisions; last, log likelihoods."""
-    x, precision = arrays(rows, rules)
-    whole, share = shares(x, model)
-    share, frame = share[:, keep], rows["frame"].to_numpy(float)
-    inside = log_density(x, Model(model.weight[keep] / model.weight[keep].sum(), model.mean[keep], model.variance[keep]))
-    top = inside.max(axis=1)
-    log = (top + np.log(np.exp(inside - top[:, None]).sum(axis=1))).sum()
-    columns = [share.sum(axis=0), share.T @ frame, share.T @ (frame * frame), (share * inside).sum(axis=0), *(share.T @ precision).T, np.full(len(keep), log)]
-    return np.stack(columns, axis=1)
+    all_x, all_precision = arrays(rows, rules)
+    frames, table = rows["frame"].to_numpy(float), 0.0
+    for some in _blocks(len(all_x), len(model.weight)):
+        x, precision, frame = all_x[some], all_precision[some], frames[some]
+        share = shares(x, model)[1][:, keep]
+        inside = log_density(x, Model(model.weight[keep] / model.weight[keep].sum(), model.mean[keep], model.variance[keep]))
+        top = inside.max(axis=1)
+        log = (top + np.log(np.exp(inside - top[:, None]).sum(axis=1))).sum()
+        columns = [share.sum(axis=0), share.T @ frame, share.T @ (frame * frame), (share * inside).sum(axis=0), *(share.T @ precision).T, np.full(len(keep), log)]
+        table = table + np.stack(columns, axis=1)
+    return table
 
 
 def nearest_component(x: np.ndarray, model: Model, keep: np.ndarray) -> np.ndarray:
-    return log_density(x, Model(*[a[keep] for a in model])).argmax(axis=1)
+    kept = Model(*[a[keep] for a in model])
+    return np.concatenate([log_density(x[some], kept).argmax(axis=1) for some in _blocks(len(x), len(keep))])
 
 
 def molecules_of(group: int, n: int, model: Model, keep: np.ndarray, s: np.ndarray, events: np.ndarray, rules: Rules) -> pd.DataFrame:
@@ -243,68 +261,147 @@ def event_means(locs: DataFrame, space: list[str]) -> DataFrame:
     return rows.groupBy("group", "_event").agg(*[F.avg(c).alias(c) for c in space])
 
 
-def _pack(model: Model) -> dict:
-    return {k: getattr(model, k).ravel().tolist() for k in Model._fields}
+def _uniform(ids: np.ndarray, *salt: int) -> np.ndarray:
+    """A number between 0 and 1 for each id, the same in every task."""
+    z = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.random.SeedSequence(salt).generate_state(1, np.uint64)[0]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54
 
 
-def _unpack(row, d: int) -> Model:
-    return Model(np.array(row["weight"]), np.array(row["mean"]).reshape(-1, d), np.array(row["variance"]).reshape(-1, d))
+def _near(x: np.ndarray, chosen: list[np.ndarray]) -> np.ndarray:
+    """Squared distances to the nearest of the chosen places; 1 without any."""
+    return np.min([((x - c) ** 2).sum(axis=1) for c in chosen], axis=0) if chosen else np.ones(len(x))
 
 
-MODEL = "weight array<double>, mean array<double>, variance array<double>"
+Start = tuple[int, int, int]  # group, number of components, number of the start
 
 
-def _sample(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
-    """About `limit` rows of each group, those of small hashes of loc_id."""
-    share = F.lit(float(1 << 30)) * limit / F.col("_n")
-    return rows.join(F.broadcast(sizes), "group").where(F.pmod(F.xxhash64("loc_id"), F.lit(1 << 30)) < share)
+def _by_group(asked: Iterable[Start]) -> dict[int, list[Start]]:
+    out: dict[int, list[Start]] = {}
+    for key in asked:
+        out.setdefault(key[0], []).append(key)
+    return out
 
 
-def _large_models(rows: DataFrame, sizes: DataFrame, rules: Rules, limit: int) -> dict[int, Model]:
-    """The best model of each large group: candidates from a sample, fitted on over all rows, all groups and models in one job a step."""
-    d = 2 if rules.pixelsize is None else 3
+def _drawn(rows: DataFrame, chosen: dict[Start, list[np.ndarray]], rules: Rules) -> dict[Start, list[np.ndarray]]:
+    """Rows drawn in proportion to the squared distance from those chosen so far, as `seeds` does: every row runs a race, of which
+    the rate is its distance, and the first one is drawn. The first row of all is drawn alone and evenly."""
+    of = _by_group(chosen)
 
-    def start(sample: pd.DataFrame) -> pd.DataFrame:
-        x, precision = arrays(sample, rules)
-        found = candidates(x, precision, rules, int(sample["_n"].iloc[0]))
-        return pd.DataFrame([{"group": sample["group"].iloc[0], **_pack(m)} for _, m in found], columns=["group", "weight", "mean", "variance"])
+    def raced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for group, own in part.groupby("group"):
+                x, ids = arrays(own, rules)[0], own["loc_id"].to_numpy()
+                for _, k, start in of.get(group, []):
+                    near = _near(x, chosen[group, k, start])
+                    for draw in range(2 + int(math.log(k)) if chosen[group, k, start] else 1):
+                        time = -np.log(_uniform(ids, 42, k, start, len(chosen[group, k, start]), draw)) / np.where(near > 0, near, 1)
+                        time[near <= 0] += math.inf if (near > 0).any() else 0
+                        first = int(time.argmin())
+                        out.append((group, k, start, draw, bool(near[first] <= 0), time[first], int(ids[first]), x[first].tolist()))
+            yield pd.DataFrame(out, columns=["group", "k", "start", "draw", "last", "time", "loc_id", "x"])
+
+    raced_rows = rows.mapInPandas(raced, "group long, k int, start int, draw int, last boolean, time double, loc_id long, x array<double>")
+    found: dict[Start, list[np.ndarray]] = {}
+    for r in raced_rows.groupBy("group", "k", "start", "draw").agg(F.min(F.struct("last", "time", "loc_id", "x")).alias("e")).orderBy("draw").collect():
+        found.setdefault((r["group"], r["k"], r["start"]), []).append(np.array(r["e"]["x"]))
+    return found
 
-    models: dict[int, list[list]] = {}
-    for row in _sample(rows, sizes, limit).groupBy("group").applyInPandas(start, f"group long, {MODEL}").collect():
-        models.setdefault(row["group"], []).append([_unpack(row, d), -math.inf, True, 0.0])
-    n = {r["group"]: r["_n"] for r in sizes.collect()}
-    for _ in range(STEPS):
-        going = {g: [(k, m[0]) for k, m in enumerate(ms) if m[2]] for g, ms in models.items()}
-        if not any(going.values()):
-            break
 
-        def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _starts(rows: DataFrame, asked: list[Start], rules: Rules) -> dict[Start, np.ndarray]:
+    """For each start as many rows as it has components, far from each other: of the rows drawn, the one after which all rows are
+    nearest to a chosen one is taken. Two jobs a component, for all starts."""
+    chosen: dict[Start, list[np.ndarray]] = {key: [] for key in asked}
+    for c in range(max(k for _, k, _ in asked)):
+        going = {key: rows_ for key, rows_ in chosen.items() if key[1] > c}
+        drawn = _drawn(rows, going, rules)
+        if c == 0:
+            chosen |= {key: drawn[key] for key in going}
+            continue
+        of = _by_group(going)
+
+        def left(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[tuple, float] = {}
             for part in parts:
                 for group, own in part.groupby("group"):
-                    x, precision = arrays(own, rules)
-                    out = []
-                    for k, model in going[group]:  # noqa: B023
-                        s = sums(x, precision, model)
-                        flat = np.c_[s.share, s.x, s.xx, s.precision]
-                        out += [{"group": group, "k": k, "c": c, "log": s.log if c == 0 else 0.0, "s": flat[c].tolist()} for c in range(len(flat))]
-                    yield pd.DataFrame(out, columns=["group", "k", "c", "log", "s"])
-
-        parts = rows.mapInPandas(partial, "group long, k int, c int, log double, s array<double>")
-        added = parts.groupBy("group", "k", "c").agg(F.sum("log").alias("log"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(1 + 3 * d)])
-        got: dict[tuple[int, int], dict] = {}
-        for r in added.collect():
-            got.setdefault((r["group"], r["k"]), {})[r["c"]] = r
-        for (group, k), by in got.items():
-            table = np.array([[by[c][f"s{i}"] for i in range(1 + 3 * d)] for c in range(len(by))])
-            s = Sums(n[group], sum(r["log"] for r in by.values()), table[:, 0], table[:, 1 : 1 + d], table[:, 1 + d : 1 + 2 * d], table[:, 1 + 2 * d :])
-            now = s.log / s.n
-            models[group][k] = [updated(s, rules), now, abs(now - models[group][k][1]) >= STILL, s.log]
-    best = {}
-    for group, ms in models.items():
-        apart = [m for m in ms if well_apart(Model(*[a[valid(m[0], n[group], rules)] for a in m[0]]))]
-        if apart:
-            best[group] = min(apart, key=lambda m: criterion(m[3], n[group], m[0]))[0]
-    return best
+                    x = arrays(own, rules)[0]
+                    for key in of.get(group, []):  # noqa: B023
+                        near = _near(x, going[key])  # noqa: B023
+                        for draw, place in enumerate(drawn[key]):  # noqa: B023
+                            total[*key, draw] = total.get((*key, draw), 0.0) + np.minimum(near, ((x - place) ** 2).sum(axis=1)).sum()
+            yield pd.DataFrame([(*key, gap) for key, gap in total.items()], columns=["group", "k", "start", "draw", "gap"])
+
+        gaps = rows.mapInPandas(left, "group long, k int, start int, draw int, gap double").groupBy("group", "k", "start", "draw").agg(F.sum("gap").alias("gap"))
+        least = {(r["group"], r["k"], r["start"]): r["e"]["draw"] for r in gaps.groupBy("group", "k", "start").agg(F.min(F.struct("gap", "draw")).alias("e")).collect()}
+        for key in going:
+            chosen[key] = [*chosen[key], drawn[key][least[key]]]
+    return {key: np.array(places) for key, places in chosen.items()}
+
+
+def _summed(rows: DataFrame, models: dict[Start, Model], n: dict[int, int], rules: Rules) -> dict[Start, Sums]:
+    """Sums of all models over all rows of their groups, in one job."""
+    d, of = 2 if rules.pixelsize is None else 3, _by_group(models)
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[Start, Sums] = {}
+        for part in parts:
+            for group, own in part.groupby("group"):
+                x, precision = arrays(own, rules)
+                for key in of.get(group, []):
+                    s = sums(x, precision, models[key])
+                    total[key] = Sums(*[a + b for a, b in zip(total[key], s)]) if key in total else s
+        out = [(*key, c, s.log if c == 0 else 0.0, v.tolist()) for key, s in total.items() for c, v in enumerate(np.c_[s.share, s.x, s.xx, s.precision])]
+        yield pd.DataFrame(out, columns=["group", "k", "start", "c", "log", "s"])
+
+    parts = rows.mapInPandas(partial, "group long, k int, start int, c int, log double, s array<double>")
+    added = parts.groupBy("group", "k", "start", "c").agg(F.sum("log").alias("log"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(1 + 3 * d)])
+    tables, logs = {key: np.zeros((key[1], 1 + 3 * d)) for key in models}, dict.fromkeys(models, 0.0)
+    for r in added.collect():
+        key = (r["group"], r["k"], r["start"])
+        tables[key][r["c"]] = [r[f"s{i}"] for i in range(1 + 3 * d)]
+        logs[key] += r["log"]
+    return {key: Sums(n[key[0]], logs[key], t[:, 0], t[:, 1 : 1 + d], t[:, 1 + d : 1 + 2 * d], t[:, 1 + 2 * d :]) for key, t in tables.items()}
+
+
+def _all_fitted(rows: DataFrame, models: dict[Start, Model], n: dict[int, int], rules: Rules) -> dict[Start, tuple[Model, float]]:
+    """As `fitted`, for all models at once, a job a step."""
+    done, last = {}, dict.fromkeys(models, -math.inf)
+    for _ in range(STEPS):
+        for key, s in _summed(rows, {key: done[key][0] if key in done else models[key] for key in last}, n, rules).items():
+            done[key] = updated(s, rules), s.log / s.n
+            if abs(s.log / s.n - last[key]) < STILL:
+                del last[key]
+            else:
+                last[key] = s.log / s.n
+        if not last:
+            break
+    return done
+
+
+def _large_models(rows: DataFrame, rules: Rules) -> dict[int, Model]:
+    """The best model of each group, by what `candidates` does, with draws and sums over all rows. So many numbers of components as
+    must be tried in any case go side by side."""
+    each = rows.groupBy("group").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in rows.columns if c not in ("loc_id", "group", "frame")]).toPandas()
+    n = {int(g): int(m) for g, m in zip(each["group"], each["n"])}
+    width = dict(zip(n, np.clip(arrays(each, rules)[1] if rules.local else rules.high, FLOOR, None) ** 2 * np.ones((len(each), 2 if rules.pixelsize is None else 3))))
+    best: dict[int, tuple[float, Model]] = {}
+    tried, idle = dict.fromkeys(n, 0), dict.fromkeys(n, 0)
+    while True:
+        numbers = [(g, k) for g in n for k in range(tried[g] + 1, min(tried[g] + rules.rounds - idle[g], n[g] // rules.least) + 1)]
+        if not numbers:
+            return {g: model for g, (_, model) in best.items()}
+        starts = _starts(rows, [(g, k, start) for g, k in numbers for start in range(max(k, 3))], rules)
+        models = {key: Model(np.full(key[1], 1 / key[1]), mean, np.tile(width[key[0]], (key[1], 1))) for key, mean in starts.items()}
+        fits = _all_fitted(rows, models, n, rules)
+        for g, k in numbers:
+            one = best_start([fits[g, k, start] for start in range(max(k, 3))], n[g], rules)
+            tried[g] = k
+            if one and (g not in best or one[0] < best[g][0]):
+                best[g], idle[g] = one, 0
+            else:
+                idle[g] += 1
 
 
 def molecules(locs: DataFrame, rules: Rules = Rules(), limit: int = ROWS) -> DataFrame:
@@ -342,7 +439,7 @@ def molecules(locs: DataFrame, rules: Rules = Rules(), limit: int = ROWS) -> Dat
     if large.isEmpty():
         return out
     mine = checkpointed(rows.join(F.broadcast(large.select("group")), "group", "left_semi"))
-    best, n, spark = _large_models(mine, large, rules, limit), {r["group"]: r["_n"] for r in large.collect()}, locs.sparkSession
+    best, n, spark = _large_models(mine, rules), {r["group"]: r["_n"] for r in large.collect()}, locs.sparkSession
     kept = {g: valid(m, n[g], rules) for g, m in best.items()}
 
     def described(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -84,3 +84,26 @@ def test_bootstrap_and_absolute_bounds(spark):
     assert M.molecules(table.where("false")).count() == 0
     same = spark.createDataFrame([(k, 1, k, 2.0, 2.0, 0.0, 0.1, 0.1, 1.0) for k in range(30)], SCHEMA)
     assert [(r.n_locs, round(r.x, 9)) for r in M.molecules(same).collect()] == [(30, 2.0)]
+
+
+def test_no_number_of_components_is_too_large(monkeypatch):
+    """A fit that finds every further molecule is asked on until each has but the rows that it needs."""
+
+    def better(total, model, rules):
+        return model, float(len(model.weight))
+
+    monkeypatch.setattr(M, "fitted", better)
+    monkeypatch.setattr(M, "well_apart", lambda model: True)
+    monkeypatch.setattr(M, "seeds", lambda x, k, rng: x[:k])
+    x = np.c_[np.arange(260) // 2, np.arange(260) % 2 * 1e-3].astype(float)
+    found = M.candidates(x, np.full((260, 2), 0.01), M.Rules(least=2))
+    assert len(found[-1][1].weight) == 130 and min(found, key=lambda f: f[0])[0] == found[-1][0]
+
+
+def test_rare_molecules_of_a_large_cluster_are_found(spark):
+    """One row in a hundred is the third molecule's, of which a sample of the cluster would hold hardly any."""
+    rng, rows = np.random.default_rng(3), []
+    for place, n in (((5.0, 3.0), 600), ((5.6, 3.0), 588), ((5.3, 3.8), 12)):
+        rows += [(len(rows) + k, 1, 10 * k, *(place + rng.normal(size=2) * 0.05).tolist(), 0.0, 0.05, 0.05, 10.0) for k in range(n)]
+    got = M.molecules(spark.createDataFrame(rows, SCHEMA), limit=100).collect()
+    assert sorted(r.n_locs for r in got) == [12, 588, 600]
