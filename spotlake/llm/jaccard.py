@@ -166,6 +166,52 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
+def shared_firsts(sets: DataFrame, key: str, t: Fraction) -> DataFrame:
+    """Edges (key, least) that connect the sets (key, size, first) that have one of their first shingles (n, shingle) in common. n: how
+    many sets have it."""
+    # sets link only if the smaller has at least threshold times the larger's size: they share a band of sizes or have
+    # neighbouring ones. A shingle of n sets is dealt to a cell for each thousand, which are then connected by their least sets.
+    width = -math.log(t) * (1 + 1e-9) if t < 1 else 1e-9
+    band = F.floor(F.log(F.col("size").cast("double")) / width)
+    members = sets.select(key, F.explode(F.array(band, band + 1)).alias("band"), "first").select(key, "band", F.explode("first").alias("x"))
+    members = members.select(key, "band", "x.shingle", F.coalesce(F.ceil(F.col("x.n") / 1000), F.lit(16)).alias("cells"))
+    members = members.withColumn("cell", F.pmod(F.xxhash64(key, F.lit(5)), F.col("cells")))
+    members = members.withColumn("least", F.min(key).over(Window.partitionBy("shingle", "band", "cell")))
+    tops = members.where("cells > 1").select("shingle", "band", F.col("least").alias(key)).distinct()
+    tops = tops.withColumn("least", F.min(key).over(Window.partitionBy("shingle", "band")))
+    return members.select(key, "least").unionAll(tops.select(key, "least")).where(F.col(key) != F.col("least")).distinct()
+
+
+def finer_strata(parts: DataFrame, t: Fraction, leaf: int, largest: int) -> DataFrame:
+    """parts, those of over `leaf` sets or `largest` bytes parted anew: by an order of all their shingles, the rarest in the part
+    first, instead of a hash class of them. Sets that share none of their first ones with another set go."""
+    sized = parts.groupBy("part").agg(F.count("*").alias("rows"), F.sum(F.octet_length("members")).alias("bytes"))
+    big = materialize(sized.where((F.col("rows") > leaf) | (F.col("bytes") > largest)).select("part", F.lit(True).alias("big")), "large-strata")
+    if big.isEmpty():
+        return parts
+    marked = parts.join(small(big), "part", "left")
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = _sets(batch.column(2))
+            size = np.array([len(s) for s in sets], np.int64)
+            at = np.repeat(np.arange(len(sets)), size)
+            flat = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(size[at]), pa.array(flat)], ["part", "node", "size", "shingle"])
+
+    wide = marked.where("big").select("part", "node", "members")
+    each = materialize(wide.mapInArrow(exploded, "part long, node binary, size long, shingle long"), "shingles-of-strata")
+    several = each.groupBy("part", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    held = each.join(several, ["part", "shingle"]).groupBy("part", "node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    # of the first size - ceil(t size) + 1 shingles, those that no other set has come before the held ones
+    keep = F.floor(F.col("size") * F.lit(t.denominator - t.numerator) / F.lit(t.denominator)) + 1
+    room = (keep - F.col("size") + F.size("held")).cast("int")
+    first = F.transform(F.slice("held", F.lit(1), F.greatest(room, F.lit(0))), lambda x: F.struct(x.n.alias("n"), F.xxhash64("part", x.shingle).alias("shingle")))
+    named = components(shared_firsts(held.where(room > 0).select("node", "size", first.alias("first")), "node", t), "node", "least")
+    again = wide.join(named, "node").select(F.xxhash64("part", "root").alias("part"), "node", "members")
+    return materialize(marked.where("big is null").select("part", "node", "members").unionAll(again), "finer-strata")
+
+
 def metric_join(parts: DataFrame, t: Fraction, leaf: int = 1000, largest: int = 32_000_000, pivots: int = 16) -> DataFrame:
     """(node, root): rows that connect the sets of each part as all links between them do.
 
@@ -344,18 +390,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float | str |
     held, more = F.coalesce("common", none), F.transform("extra", lambda x: F.struct(F.lit(None).cast("long").alias("n"), x.alias("shingle")))
     room = F.col("keep") - F.col("ranked") + F.size(held)
     first = F.when(F.col("mixed") | (F.col("keep") > F.col("ranked")), F.concat(held, more)).when(room > 0, F.slice(held, F.lit(1), F.greatest(room, F.lit(0)))).otherwise(none)
-    # sets link only if the smaller has at least threshold times the larger's size: they share a band of sizes or have
-    # neighbouring ones. A shingle of n sets is dealt to a cell for each thousand, which are then connected by their least sets.
-    width = -math.log(t) * (1 + 1e-9) if t < 1 else 1e-9
-    band = F.floor(F.log(F.col("size").cast("double")) / width)
-    members = each.select("head", F.explode(F.array(band, band + 1)).alias("band"), first.alias("first")).select("head", "band", F.explode("first").alias("x"))
-    members = members.select("head", "band", "x.shingle", F.coalesce(F.ceil(F.col("x.n") / 1000), F.lit(16)).alias("cells"))
-    members = members.withColumn("cell", F.pmod(F.xxhash64("head", F.lit(5)), F.col("cells")))
-    members = members.withColumn("least", F.min("head").over(Window.partitionBy("shingle", "band", "cell")))
-    tops = members.where("cells > 1").select("shingle", "band", F.col("least").alias("head")).distinct()
-    tops = tops.withColumn("least", F.min("head").over(Window.partitionBy("shingle", "band")))
-    edges = members.select("head", "least").unionAll(tops.select("head", "least")).where("head <> least").distinct()
-    strata = materialize(components(edges, "head", "least").select(F.col("node").alias("head"), F.col("root").alias("part")), "strata")
+    strata = components(shared_firsts(each.select("head", "size", first.alias("first")), "head", t), "head", "least")
+    strata = materialize(strata.select(F.col("node").alias("head"), F.col("root").alias("part")), "strata")
     bitmap = docs.sparkSession.sparkContext.broadcast(membership(strata))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +412,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float | str |
 
     sets = named.select("text").mapInArrow(full, "head long, node binary, members binary")
     sets = sets.join(strata, "head").groupBy("head", "node").agg(F.first("part").alias("part"), F.first("members").alias("members")).drop("head")
-    joined = metric_join(materialize(sets, "sets-of-strata"), t, leaf, largest)
+    joined = metric_join(finer_strata(materialize(sets, "sets-of-strata"), t, leaf, largest), t, leaf, largest)
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_min"))
     least = least.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = materialize(least, "classes")
