@@ -95,3 +95,14 @@ def test_rows_dealt_in_space_grow_with_the_rows(spark, monkeypatch):
     rows = [(i, float(i % 7), float(i % 5), float(i)) for i in range(3500)]  # 100 depths a place of the plane
     C.cluster(spark.createDataFrame(rows, "loc_id long, x double, y double, z double"), 3.0, 4, r_z=150.0).count()
     assert met and all(n <= 4 * len(rows) for n in met)
+
+
+def test_columns_are_dealt_whole(spark, monkeypatch):
+    """Every row went to its tiles by itself; rows of one place in the plane go together, in pieces if they are many."""
+    rows = [(i, float(i % 7), float(i % 5), float(i), 1) for i in range(3500)]  # 35 columns
+    points = spark.createDataFrame(rows, "loc_id long, x double, y double, z double, n long")
+    want = {i: sum(1 for j in range(i % 35, 3500, 35) if abs(i - j) <= 100) - 1 for i in range(3500)}
+    for column, most in ((K.COLUMN, 4 * 35), (30, 4 * 35 * 4)):
+        monkeypatch.setattr(K, "COLUMN", column)
+        assert K._tiles(points, 0.5, "n", 10_000).count() <= most
+        assert {r.loc_id: r.others for r in K.sums_around(points, 0.5, 0.005).collect()} == want
