@@ -63,7 +63,9 @@ def log_density(x: np.ndarray, model: Model) -> np.ndarray:
     far = np.zeros((len(x), len(model.weight)))
     for k in range(x.shape[1]):
         gap = x[:, k, None] - model.mean[:, k]
-        far += gap * gap / model.variance[:, k]
+        gap *= gap
+        gap /= model.variance[:, k]
+        far += gap
     return np.log(model.weight) - 0.5 * (np.log(2 * math.pi * model.variance).sum(axis=1) + far)
 
 
